@@ -6,14 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_encode_decode
 from .common import read_table
 from .exact_dedup import exact_dedup
+from .packing import best_fit_pack
+from .secrets import scan_secrets
+
+
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
+    """The path of a public tokenizer file; the operators take it as a parameter."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read_table(spark, sf_dir, "documents")).drop("found")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode_decode(read_table(spark, sf_dir, "documents"), tokenizer())
+
+
+def op10_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(read_table(spark, sf_dir, "documents"), tokenizer())
+
+
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP3_SQL = f"""
@@ -25,7 +47,12 @@ FROM d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_exact_dedup": op3_exact_dedup}
+    return {
+        "op1_secret_scan": op1_secret_scan,
+        "op3_exact_dedup": op3_exact_dedup,
+        "op9_bpe": op9_bpe,
+        "op10_best_fit_pack": op10_best_fit_pack,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
