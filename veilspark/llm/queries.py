@@ -11,6 +11,7 @@ from .common import read_table
 from .exact_dedup import exact_dedup
 from .packing import best_fit_pack
 from .secrets import scan_secrets
+from .simhash import simhash_components
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -28,6 +29,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(read_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode_decode(read_table(spark, sf_dir, "documents"), tokenizer())
 
@@ -50,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op3_exact_dedup": op3_exact_dedup,
+        "op6_simhash": op6_simhash,
         "op9_bpe": op9_bpe,
         "op10_best_fit_pack": op10_best_fit_pack,
     }
