@@ -12,6 +12,8 @@ from .exact_dedup import exact_dedup
 from .packing import best_fit_pack
 from .secrets import scan_secrets
 from .simhash import simhash_components
+from .toxicity import score_toxicity
+from .urls import BINS, LIMIT, ORDER, SYMBOLS, WEIGHT, filter_urls
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -29,10 +31,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(read_table(spark, sf_dir, "pages")).drop("figure")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode_decode(read_table(spark, sf_dir, "documents"), tokenizer())
 
@@ -50,16 +60,55 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM d
 """
 
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _op4_sql() -> str:
+    levels = ""
+    for n in range(1, ORDER + 1):
+        low = f"(SELECT 1.0 / {len(SYMBOLS)} AS pa, 1.0 / {len(SYMBOLS)} AS pr, '' AS gram)" if n == 1 else f"l{n - 1}"
+        levels += f"""
+c{n} AS (SELECT right(gram, {n}) AS gram, sum(a) AS a, sum(r) AS r FROM counts GROUP BY 1),
+x{n} AS (SELECT left(gram, {n - 1}) AS context, sum(a) AS ca, sum(r) AS cr FROM c{n} GROUP BY 1),
+l{n} AS (SELECT c.gram, (c.a + {WEIGHT} * w.pa) / (x.ca + {WEIGHT}) AS pa, (c.r + {WEIGHT} * w.pr) / (x.cr + {WEIGHT}) AS pr
+  FROM c{n} c JOIN x{n} x ON left(c.gram, {n - 1}) = x.context JOIN {low} w ON right(c.gram, {n - 1}) = w.gram),"""
+    joins = " ".join(f"LEFT JOIN l{n} ON right(g.gram, {n}) = l{n}.gram" for n in range(ORDER, 0, -1))
+    ratio = "coalesce(" + ", ".join(f"ln(l{n}.pa / l{n}.pr)" for n in range(ORDER, 0, -1)) + ", 0.0)"
+    return f"""
+WITH u AS (SELECT row_number() OVER () AS row, page_id, coalesce(url, '') AS url FROM pages),
+p AS (SELECT row, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM u),
+h AS (SELECT row, page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_AZ}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+s AS (SELECT *, CASE
+    WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule,
+  repeat('^', {ORDER - 1}) || regexp_replace(regexp_replace(translate(host || path, {_AZ}), '[0-9]', '0', 'g'), '[^a-z0./\\-_?=&%:]', '*', 'g') AS symbols FROM h),
+v AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM s),
+g AS (SELECT row, ruled, substr(symbols, i, {ORDER}) AS gram FROM (SELECT *, unnest(range(1, length(symbols) - {ORDER} + 2)) AS i FROM v)),
+counts AS (SELECT gram, sum((ruled = 'allow')::INT) AS a, sum((ruled = 'block')::INT) AS r FROM g WHERE ruled IS NOT NULL GROUP BY 1),{levels}
+f AS (SELECT row, sum({ratio}) / count(*) AS mean FROM g {joins} GROUP BY 1),
+b AS (SELECT v.*, least(greatest(floor(round(coalesce(mean, 0), 6) * {BINS}), {-LIMIT * BINS}), {LIMIT * BINS})::INT AS bin FROM v LEFT JOIN f USING (row)),
+k AS (SELECT bin, sum((ruled = 'allow')::INT) AS a, sum((ruled = 'block')::INT) AS r FROM b WHERE ruled IS NOT NULL GROUP BY 1),
+w AS (SELECT bin, round(coalesce(sum(a) OVER below, 0) / greatest(sum(a) OVER (), 1) + 1 - coalesce(sum(r) OVER below, 0) / greatest(sum(r) OVER (), 1), 9) AS wrong
+  FROM k WINDOW below AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (SELECT coalesce((SELECT bin FROM w ORDER BY wrong, abs(bin), bin LIMIT 1), 0) AS cut)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN bin >= cut THEN 'allow' ELSE 'block' END) AS verdict FROM b, cut
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_url_filter": op4_url_filter,
         "op6_simhash": op6_simhash,
+        "op8_toxicity": op8_toxicity,
         "op9_bpe": op9_bpe,
         "op10_best_fit_pack": op10_best_fit_pack,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op4_url_filter": _op4_sql()}
