@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_encode_decode
+from .chat import format_chats
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .packing import best_fit_pack
 from .secrets import scan_secrets
 from .simhash import simhash_components
+from .topk import EACH, K, top_k
 from .toxicity import score_toxicity
 from .urls import BINS, LIMIT, ORDER, SYMBOLS, WEIGHT, filter_urls
 
@@ -35,10 +37,21 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages")).drop("figure")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return format_chats(table.unionByName(extra)).drop("shared_chars", "intervals")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -60,6 +73,30 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM d
 """
 
+OP7_SQL = f"""
+WITH c AS (SELECT DISTINCT vec_id AS id,
+  list_sum(list_transform(range(32), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << i ELSE 0 END))::BIGINT AS low,
+  list_sum(list_transform(range(32), lambda i: CASE WHEN embedding[i + 33] > 0 THEN 1::BIGINT << i ELSE 0 END))::BIGINT AS high
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+d AS (SELECT q.id AS query_id, c.id AS neighbor_id, min(bit_count(xor(q.low, c.low)) + bit_count(xor(q.high, c.high)))::INT AS distance
+  FROM c q JOIN c ON q.id % {EACH} = 0 AND q.id <> c.id GROUP BY 1, 2),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank, neighbor_id, distance FROM d)
+SELECT * FROM r WHERE rank <= {K}
+"""
+
+OP5_SQL = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, role || chr(10) || text || chr(10) AS said, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
+  length(text) + length(role) + 11
+  + (2 * length(text) - length(replace(text, chr(92), '')) - length(replace(replace(text, '<', ''), '[', '')))
+  + (2 * length(role) - length(replace(role, chr(92), '')) - length(replace(replace(replace(role, '<', ''), '[', ''), '|', ''))) AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(said, '' ORDER BY turn, role, text)) AS turns_sha256, sum(length(loss))::BIGINT AS loss_chars,
+       sha256(string_agg(loss, '' ORDER BY turn, role, text)) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
@@ -103,7 +140,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": op1_secret_scan,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_url_filter": op4_url_filter,
+        "op5_chat_format": op5_chat_format,
         "op6_simhash": op6_simhash,
+        "op7_top_k": op7_top_k,
         "op8_toxicity": op8_toxicity,
         "op9_bpe": op9_bpe,
         "op10_best_fit_pack": op10_best_fit_pack,
@@ -111,4 +150,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op4_url_filter": _op4_sql()}
+    return {"op3_exact_dedup": OP3_SQL, "op4_url_filter": _op4_sql(), "op5_chat_format": OP5_SQL, "op7_top_k": OP7_SQL}
