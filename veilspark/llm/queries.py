@@ -10,6 +10,7 @@ from .bpe import bpe_encode_decode
 from .chat import format_chats
 from .common import read_table
 from .exact_dedup import exact_dedup
+from .ngram import lm_score
 from .packing import best_fit_pack
 from .secrets import scan_secrets
 from .simhash import simhash_components
@@ -29,6 +30,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents")).drop("found")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(read_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -138,6 +143,7 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN bin >= cut THEN 'all
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_lm_score": op2_lm_score,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_url_filter": op4_url_filter,
         "op5_chat_format": op5_chat_format,
