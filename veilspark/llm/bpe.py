@@ -48,10 +48,56 @@ def load(path: str):
     return _loaded[path]
 
 
-def encode_words(path: str, words: list[bytes]) -> list[np.ndarray]:
-    """The ids of each word; invalid UTF-8 is replaced as Spark shows it."""
-    texts = [w.decode("utf-8", "replace") for w in words]
-    return [np.array(e.ids, np.uint32) for e in load(path).encode_batch_fast(texts, add_special_tokens=False)]
+def _letters(word: bytes) -> bytes | None:
+    """The lower-cased word if it is one run of Latin letters, which the tokenizer keeps whole; else None."""
+    if word.isalpha():
+        return word.lower()
+    text = word.decode("utf-8", "replace").lower()
+    return text.encode() if text.isalpha() and max(text) < "\u0250" else None
+
+
+def _encode_letters(path: str, words: list[bytes], together: int = 64) -> dict[bytes, bytes]:
+    """The ids of runs of letters, many to a call: each word's last piece says that a word ends there."""
+    if not words:
+        return {}
+    joined = [b" ".join(words[i : i + together]).decode() for i in range(0, len(words), together)]
+    ids = np.concatenate([np.array(e.ids, np.uint32) for e in load(path).encode_batch_fast(joined, add_special_tokens=False)])
+    data, ends = ids.tobytes(), (4 * (np.flatnonzero(_ends(path)[ids]) + 1)).tolist()
+    return {w: data[a:b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
+
+
+def encode_words(path: str, words: list[bytes]) -> list[bytes]:
+    """The ids of each word, as uint32 bytes; invalid UTF-8 is replaced as Spark shows it.
+
+    Of letters followed by one full stop or comma the letters and the mark are encoded by themselves, as the
+    tokenizer parts them too; so a word is encoded once with and without its mark.
+    """
+    stems: dict[bytes, tuple[bytes, bytes]] = {}  # word: its letters and its mark
+    for w in words:
+        stem = _letters(w)
+        if stem is not None:
+            stems[w] = (stem, b"")
+        elif w[-1:] in (b".", b",") and (stem := _letters(w[:-1])) is not None:
+            stems[w] = (stem, w[-1:])
+    letters = _encode_letters(path, list({stem for stem, _ in stems.values()}))
+    other = [*{w for w in words if w not in stems}, b".", b","]
+    encoded = load(path).encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
+    rest = {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(other, encoded, strict=True)}
+    marks = {b"": b"", b".": rest[b"."], b",": rest[b","]}
+    found = {w: letters[stem] + marks[mark] for w, (stem, mark) in stems.items()}
+    return [found[w] if w in found else rest[w] for w in words]
+
+
+def _ends(path: str) -> np.ndarray:
+    """By id: whether the piece ends a word."""
+    if (key := f"ends of {path}") not in _loaded:
+        _loaded[key] = np.array([p.endswith("</w>") for p in pieces(path)])
+    return _loaded[key]
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """The words of a text. A-Z are lower-cased, as the tokenizer does, unless a special token may be in it."""
+    return (text if b"<|" in text else text.lower()).split()
 
 
 def pieces(path: str) -> list[str]:
@@ -61,22 +107,27 @@ def pieces(path: str) -> list[str]:
 
 
 class WordCache:
-    """Ids of words for one worker, as bytes; forgets all when it holds ``most`` words."""
+    """Ids of words for one worker, as bytes, in two generations of at most about ``most`` words each.
+
+    A full generation becomes the old one; words that are still met move over, the others go with it.
+    """
 
-    def __init__(self, path: str, most: int = 700_000) -> None:
-        self.path, self.most, self.known = path, most, {}
+    def __init__(self, path: str, most: int = 400_000) -> None:
+        self.path, self.most, self.known, self.old = path, most, {}, {}
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """The ids of a text, given as its words."""
-        missing = list(set(words).difference(self.known))
-        if missing:
-            if len(self.known) + len(missing) > self.most:
-                self.known.clear()
-                missing = list(set(words))
-            for i in range(0, len(missing), 20_000):
-                some = missing[i : i + 20_000]
-                self.known.update(zip(some, (x.tobytes() for x in encode_words(self.path, some)), strict=True))
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint32)
+    def ids(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """The ids of texts, given as their words; new words are encoded together."""
+        missing = set().union(*texts).difference(self.known)
+        if missing and len(self.known) + len(missing) > self.most:
+            self.old, self.known = self.known, {}
+            missing = set().union(*texts)
+        met = {w: ids for w in missing if (ids := self.old.get(w)) is not None}
+        self.known.update(met)
+        new = list(missing.difference(met))
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
+            self.known.update(zip(some, encode_words(self.path, some), strict=True))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint32) for words in texts]
 
 
 _caches: dict[str, WordCache] = {}
@@ -119,7 +170,7 @@ def _bucket_of(words: list[bytes], buckets: int) -> np.ndarray:
 
 
 def _split(block: str, ids: list, texts: list[bytes], buckets: int) -> Iterator[pa.RecordBatch]:
-    split = [t.split() for t in texts]
+    split = [words_of(t) for t in texts]
     count: Counter = Counter()
     for words in split:
         count.update(words)
@@ -170,8 +221,8 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
                 new = [w for w in words if w not in known]
                 known.update(zip(new, encode_words(tokenizer_path, new), strict=True))
                 found = [known[w] for w in words]
-                sizes = np.fromiter(map(len, found), np.uint32, len(found))
-                data = _squeeze(np.concatenate([np.array([len(found)], np.uint32), np.array(row["sizes"], np.uint32), sizes, *found]))
+                sizes = np.fromiter(map(len, found), np.uint32, len(found)) // 4
+                data = _squeeze(np.concatenate([np.array([len(found)], np.uint32), np.array(row["sizes"], np.uint32), sizes, np.frombuffer(b"".join(found), np.uint32)]))
                 yield _row(_route(row["block"]), row["block"], row["bucket"], None, None, data)
 
     def join(texts: pa.Table, words: pa.Table) -> pa.Table:

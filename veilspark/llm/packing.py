@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import word_cache
+from .bpe import word_cache, words_of
 from .common import cut, sliced, text_bytes
 
 CAPACITY = 2048
@@ -167,10 +167,11 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, end = word_cache(tokenizer_path), np.array([END_ID], "<u4")
-        for batch in sliced(batches):
+        for batch in sliced(batches, 1 << 20):
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.concatenate([cache.ids(text.split()).astype("<u4"), end])
+            texts = [words_of(t) for t in batch.column("text").to_pylist()]
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), cache.ids(texts), strict=True):
+                ids = np.concatenate([found.astype("<u4"), end])
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     own = ids[start : start + capacity]
                     for column, value in zip(out, (doc_id, k, start, len(own), zlib.crc32(own.tobytes())), strict=True):
