@@ -101,7 +101,9 @@ def redact_column(frame: DataFrame, column: str, out: str, options: Options) ->
             over = F.when(sum((F.size(f) for f in found[: i + 1]), F.lit(0)) > most, known[i]).otherwise(over)
     frame = frame.withColumns({f"{out}__over": over, f"{out}__all": F.array_sort(F.concat(*found)) if found else F.array().cast(f"array<{_SPAN}>")})
 
-    tokens = {n: options.replacement[n] if n in options.replacement else None for n in known} if isinstance(options.replacement, Mapping) else {n: default_token(n) for n in known}
+    given = options.replacement if isinstance(options.replacement, Mapping) else {n: default_token(n) for n in known}
+    tokens = {n: str(given.get(n, "")) for n in known}
+    lacking = [n for n in known if n not in given]
     token = lambda r: F.element_at(F.create_map(*[F.lit(x) for pair in tokens.items() for x in pair]), r) if tokens else F.lit("")
     kept = F.col(text)
 
@@ -126,7 +128,7 @@ def redact_column(frame: DataFrame, column: str, out: str, options: Options) ->
     frame = frame.withColumn(f"{out}__fold", F.when(usable & (F.size(f"{out}__all") > 0), F.aggregate(F.col(f"{out}__all"), zero, fold)))
     folded = F.col(f"{out}__fold")
     bad = F.coalesce(folded["bad"], F.lit(False))
-    missing = F.coalesce(folded["out"].isNull(), F.lit(False)) & folded.isNotNull()
+    missing = F.coalesce(F.exists(folded["reasons"], lambda r: r.isin(*lacking)), F.lit(False)) if lacking else F.lit(False)
     code = F.coalesce(F.col(guard), F.when(F.col(f"{out}__over").isNotNull(), "max_total_detections_exceeded"), F.when(bad, "overlapping_detection"), F.when(missing, "replacement_failed"))
     message = F.element_at(F.create_map(*[F.lit(x) for pair in ERRORS.items() for x in pair]), code)
     if late is not None and late.message:
