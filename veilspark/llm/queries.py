@@ -133,7 +133,7 @@ counts AS (SELECT gram, sum((ruled = 'allow')::INT) AS a, sum((ruled = 'block'):
 f AS (SELECT row, sum({ratio}) / count(*) AS mean FROM g {joins} GROUP BY 1),
 b AS (SELECT v.*, least(greatest(floor(round(coalesce(mean, 0), 6) * {BINS}), {-LIMIT * BINS}), {LIMIT * BINS})::INT AS bin FROM v LEFT JOIN f USING (row)),
 k AS (SELECT bin, sum((ruled = 'allow')::INT) AS a, sum((ruled = 'block')::INT) AS r FROM b WHERE ruled IS NOT NULL GROUP BY 1),
-w AS (SELECT bin, round(coalesce(sum(a) OVER below, 0) / greatest(sum(a) OVER (), 1) + 1 - coalesce(sum(r) OVER below, 0) / greatest(sum(r) OVER (), 1), 9) AS wrong
+w AS (SELECT floor((coalesce(lag(bin) OVER (ORDER BY bin), bin) + bin + 1) / 2)::INT AS bin, round(coalesce(sum(a) OVER below, 0) / greatest(sum(a) OVER (), 1) + 1 - coalesce(sum(r) OVER below, 0) / greatest(sum(r) OVER (), 1), 9) AS wrong
   FROM k WINDOW below AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 cut AS (SELECT coalesce((SELECT bin FROM w ORDER BY wrong, abs(bin), bin LIMIT 1), 0) AS cut)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN bin >= cut THEN 'allow' ELSE 'block' END) AS verdict FROM b, cut

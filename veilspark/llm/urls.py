@@ -105,12 +105,16 @@ def _figures(rows: DataFrame, labelled: DataFrame, *keep: str) -> DataFrame:
 
 
 def _cut(figures: DataFrame) -> DataFrame:
-    """One row: the cut with the least sum of the shares of wrong accepts and wrong rejects; the one nearest to zero of several."""
+    """One row: the cut with the least sum of the shares of wrong accepts and wrong rejects, the one nearest to zero of several.
+
+    A cut lies in the middle between two bins that occur, as labelled URLs stand further apart than new ones.
+    """
     bins = figures.where("verdict is not null").groupBy("bin").agg(F.sum(F.when(F.col("verdict") == "allow", 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("verdict") == "block", 1).otherwise(0)).alias("r"))
     # At most 2 * LIMIT * BINS + 1 rows from here on.
     below, every = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     wrong = F.coalesce(F.sum("a").over(below), F.lit(0)) / F.greatest(F.sum("a").over(every), F.lit(1)) + 1 - F.coalesce(F.sum("r").over(below), F.lit(0)) / F.greatest(F.sum("r").over(every), F.lit(1))
-    best = bins.select("bin", F.round(wrong, 9).alias("wrong")).agg(F.min(F.struct("wrong", F.abs("bin").alias("far"), F.col("bin").alias("cut"))).alias("m"))
+    middle = F.floor((F.coalesce(F.lag("bin").over(Window.orderBy("bin")), F.col("bin")) + F.col("bin") + 1) / 2).cast("int")
+    best = bins.select(middle.alias("cut"), F.round(wrong, 9).alias("wrong")).agg(F.min(F.struct("wrong", F.abs("cut").alias("far"), "cut")).alias("m"))
     return best.select(F.coalesce("m.cut", F.lit(0)).alias("cut"))
 
 
