@@ -9,7 +9,7 @@ its own, so that a regular expression runs once per row and detector.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,8 @@ from ..codes import ERROR, ERRORS, REPORT, WARNING
 from ..options import Options, default_token
 from .patterns import JVM, NEEDS
 
+#: Detectors whose first group can hold something.
+PREFIXED = ("bearer_token",)
 _SPAN = "struct<s:int,e:int,o:int,r:string>"
 
 
@@ -41,10 +43,6 @@ def _needed(text: Column, name: str) -> Column:
     return found
 
 
-def _is(value: str) -> Callable[[Column], Column]:
-    return lambda x: x == value
-
-
 def _warning(code: str, **more: Column | str) -> Column:
     return F.struct(*[(more[f] if isinstance(more.get(f), Column) else F.lit(more.get(f) if f != "code" else code)).cast("string").alias(f) for f in ("code", "detector_id", "reason", "path")])
 
@@ -56,14 +54,17 @@ def spans(frame: DataFrame, text: str, name: str, order: int, out: str) -> DataF
     staged = frame.withColumns(
         {
             f"{out}_gap": F.when(use, F.split(own, JVM[name], -1)),
-            f"{out}_pre": F.when(use, F.regexp_extract_all(own, pattern, F.lit(1))),
             f"{out}_hit": F.when(use, F.regexp_extract_all(own, pattern, F.lit(2))),
         }
     )
-    both = F.zip_with(F.zip_with(F.col(f"{out}_gap"), F.col(f"{out}_pre"), lambda g, p: F.struct(F.length(g).alias("g"), F.length(p).alias("p"))), F.col(f"{out}_hit"), lambda a, h: F.struct(a["g"].alias("g"), a["p"].alias("p"), F.length(h).alias("h")))
+    before = F.transform(f"{out}_gap", lambda g: F.length(g))
+    if name in PREFIXED:  # what stays before the secret counts to the gap
+        staged = staged.withColumn(f"{out}_pre", F.when(use, F.regexp_extract_all(own, pattern, F.lit(1))))
+        before = F.zip_with(before, F.col(f"{out}_pre"), lambda g, p: g + F.length(p))
+    both = F.zip_with(before, F.col(f"{out}_hit"), lambda g, h: F.struct(g.alias("g"), F.length(h).alias("h")))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"] + x["p"]
+        start = acc["at"] + x["g"]
         end = start + x["h"]
         return F.struct(end.alias("at"), F.array_append(acc["found"], F.struct(start.alias("s"), (-end).alias("e"), F.lit(order).alias("o"), F.lit(name).alias("r"))).cast(f"array<{_SPAN}>").alias("found"))
 
@@ -117,18 +118,21 @@ def redact_column(frame: DataFrame, column: str, out: str, options: Options) ->
             F.when(take, -x["e"]).otherwise(acc["end"]).alias("end"),
             bad.alias("bad"),
             F.when(take, F.concat(acc["out"], F.substring(kept, acc["end"] + 1, x["s"] - acc["end"]), token(x["r"]))).otherwise(acc["out"]).alias("out"),
-            F.when(take, F.array_append(acc["reasons"], x["r"])).otherwise(acc["reasons"]).alias("reasons"),
+            F.struct(*[(acc["counts"][n] + F.when(take & (x["o"] == i), 1).otherwise(0)).alias(n) for i, n in enumerate(known)]).alias("counts"),
             warned.cast(f"array<{WARNING.simpleString()}>").alias("warnings"),
         )
 
-    zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(False).alias("bad"), F.lit("").alias("out"), F.array().cast("array<string>").alias("reasons"), F.array().cast(f"array<{WARNING.simpleString()}>").alias("warnings"))
+    none = F.struct(*[F.lit(0).alias(n) for n in known])
+    zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(False).alias("bad"), F.lit("").alias("out"), none.alias("counts"), F.array().cast(f"array<{WARNING.simpleString()}>").alias("warnings"))
     # A first span at 0 follows no other: its start must differ from the fold's.
-    zero = F.struct(F.lit(-1).alias("start"), *[zero[n].alias(n) for n in ("end", "bad", "out", "reasons", "warnings")])
+    zero = F.struct(F.lit(-1).alias("start"), *[zero[n].alias(n) for n in ("end", "bad", "out", "counts", "warnings")])
     usable = F.col(guard).isNull() & F.col(f"{out}__over").isNull()
-    frame = frame.withColumn(f"{out}__fold", F.when(usable & (F.size(f"{out}__all") > 0), F.aggregate(F.col(f"{out}__all"), zero, fold)))
+    frame = frame.withColumn(f"{out}__fold", F.when(usable & (F.size(f"{out}__all") > 0), F.aggregate(F.col(f"{out}__all"), zero, fold)) if known else F.lit(None).cast("struct<start:int,end:int,bad:boolean,out:string,warnings:array<string>>"))
     folded = F.col(f"{out}__fold")
     bad = F.coalesce(folded["bad"], F.lit(False))
-    missing = F.coalesce(F.exists(folded["reasons"], lambda r: r.isin(*lacking)), F.lit(False)) if lacking else F.lit(False)
+    missing = F.lit(False)
+    for n in lacking:
+        missing = missing | F.coalesce(folded["counts"][n] > 0, F.lit(False))
     code = F.coalesce(F.col(guard), F.when(F.col(f"{out}__over").isNotNull(), "max_total_detections_exceeded"), F.when(bad, "overlapping_detection"), F.when(missing, "replacement_failed"))
     message = F.element_at(F.create_map(*[F.lit(x) for pair in ERRORS.items() for x in pair]), code)
     if late is not None and late.message:
@@ -136,20 +140,21 @@ def redact_column(frame: DataFrame, column: str, out: str, options: Options) ->
     frame = frame.withColumns({f"{out}__code": code, f"{out}__message": message})
     code, good = F.col(f"{out}__code"), F.col(f"{out}__code").isNull()
     value = F.when(good, F.when(folded.isNull(), kept).otherwise(F.concat(folded["out"], F.substring(kept, folded["end"] + 1, F.length(kept)))))
-    reasons = F.when(good & folded.isNotNull(), folded["reasons"]).otherwise(F.array().cast("array<string>"))
+    each = {n: F.when(good, F.coalesce(folded["counts"][n], F.lit(0))).otherwise(0) for n in known}
+    total = sum(each.values(), F.lit(0))
     empty = F.array().cast(f"array<{WARNING.simpleString()}>")
     last = F.when(good | (bad & F.col(guard).isNull()), empty).otherwise(F.array(_warning("", detector_id=F.col(f"{out}__over")).withField("code", code)))
-    warnings = F.concat(F.coalesce(folded["warnings"], empty), last).cast(f"array<{WARNING.simpleString()}>")
+    warnings = F.concat(F.coalesce(folded["warnings"], empty) if known else empty, last).cast(f"array<{WARNING.simpleString()}>")
     # In a failure after the detectors began, they all ran or ran up to the one that failed.
     runs = F.when(F.col(guard).isNotNull(), 0)
     if most is not None:
         for i, n in enumerate(known):
             runs = runs.when(F.col(f"{out}__over") == n, i + 1)
     runs = runs.otherwise(len(known))
-    counts = F.filter(F.array(*[F.struct(F.lit(n).alias("key"), F.size(F.filter(reasons, _is(n))).cast("long").alias("value")) for n in known]), lambda c: c["value"] > 0) if known else F.array().cast("array<struct<key:string,value:bigint>>")
+    counts = F.filter(F.array(*[F.struct(F.lit(n).alias("key"), c.cast("long").alias("value")) for n, c in each.items()]), lambda c: c["value"] > 0) if known else F.array().cast("array<struct<key:string,value:bigint>>")
     report = F.struct(
-        F.when(~good, "failed").when(F.size(reasons) > 0, "redacted").otherwise("unchanged").alias("status"),
-        F.size(reasons).cast("long").alias("total_redactions"),
+        F.when(~good, "failed").when(total > 0, "redacted").otherwise("unchanged").alias("status"),
+        total.cast("long").alias("total_redactions"),
         F.map_from_entries(counts).alias("counts_by_reason"),
         warnings.alias("warnings"),
         F.struct(F.lit(None).cast("double").alias("duration_ms"), F.lit(None).cast("double").alias("detector_duration_ms"), runs.cast("long").alias("detector_runs"), F.lit(1).cast("long").alias("nodes_visited"), F.coalesce(code_units(own), F.lit(0)).cast("long").alias("string_code_units")).alias("timings"),

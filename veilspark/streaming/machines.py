@@ -37,7 +37,7 @@ class Machine:
     """One stream. ``state`` is a plain dict that can be stored between chunks."""
 
     def __init__(self, policy: Options | Profile | Mapping | None = None, state: dict | None = None) -> None:
-        self.state = state or {"buffer": "", "closed": False, "failed": None, "units": 0, "redactions": 0, "runs": 0, "ms": 0.0}
+        self.state = state or {"buffer": "", "held": 0, "closed": False, "failed": None, "units": 0, "redactions": 0, "runs": 0, "ms": 0.0}
         try:
             self.options = self.checked(policy)
         except (Refused, TypeError) as refused:
@@ -51,7 +51,7 @@ class Machine:
         return self.options.limits.get("max_stream_buffer_length")
 
     def fail(self, code: str, message: str | None = None) -> dict:
-        self.state |= {"buffer": "", "failed": [code, message]}
+        self.state |= {"buffer": "", "held": 0, "failed": [code, message]}
         return failure(code, message)
 
     def push(self, chunk: object) -> dict:
@@ -83,19 +83,30 @@ def _row(value: str | None, report: Report, refused: Refused | None, final: bool
     return row | ({"content": None, "final": None, "retained": None} if refused else {"content": value, "final": final, "retained": retained})
 
 
+def _empty(*codes: str) -> dict:
+    report = Report()
+    for code in codes:
+        report.warn(code)
+    return _row("", report, None, False, 0)
+
+
+#: Rows of chunks that are only held; made once.
+_HELD, _OMITTED = _empty(), _empty("streaming_content_omitted")
+
+
 class Buffered(Machine):
     """Holds all content back until the stream closes."""
 
     def chunk(self, chunk: str) -> dict:
-        if units(self.state["buffer"]) + units(chunk) > self.most:
+        if self.state["held"] + units(chunk) > self.most:
             return self.fail("max_stream_buffer_length_exceeded")
         self.state["buffer"] += chunk
-        report = Report()
-        report.warn("streaming_content_omitted")
-        return _row("", report, None, False, units(self.state["buffer"]))
+        self.state["held"] += units(chunk)
+        return _OMITTED | {"retained": self.state["held"]}
 
     def rest(self) -> dict:
-        text, self.state["buffer"] = self.state["buffer"], ""
+        text = self.state["buffer"]
+        self.state |= {"buffer": "", "held": 0}
         return _row(*redact(text, self.options), True, 0)
 
 
@@ -117,15 +128,18 @@ class Rolling(Machine):
             return self.fail("max_total_string_length_exceeded")
         # Without white space nothing can leave, so the buffer is not scanned again.
         spaced = _SPACES.search(chunk) is not None
-        if not spaced and units(state["buffer"]) + units(chunk) > self.most:
+        held = state["held"] + units(chunk)
+        if not spaced and held > self.most:
             return self.fail("max_stream_buffer_length_exceeded")
         buffer = state["buffer"] + chunk
         at = flush_index(buffer) if spaced else 0
-        if units(buffer[at:]) > self.most:
+        if at:
+            held = units(buffer[at:])
+        if held > self.most:
             return self.fail("max_stream_buffer_length_exceeded")
-        state["buffer"] = buffer
+        state |= {"buffer": buffer, "held": held}
         if not at:
-            return _row("", Report(), None, False, units(buffer))
+            return _HELD | {"retained": held}
         return self.release(buffer[:at], buffer[at:], False)
 
     def rest(self) -> dict:
@@ -144,12 +158,12 @@ class Rolling(Machine):
             left["max_total_duration_ms"] = limits.max_total_duration_ms - state["ms"]
         value, report, refused = redact(text, replace(self.options, limits=limits.lowered(**left)))
         if refused:
-            state |= {"buffer": "", "failed": [refused.code, refused.message]}
+            state |= {"buffer": "", "held": 0, "failed": [refused.code, refused.message]}
             return _row(None, report, refused, final, 0)
         state["redactions"] += report.total
         state["runs"] += report.runs
         state["ms"] += report.duration_ms
-        state["buffer"] = kept
+        state |= {"buffer": kept, "held": units(kept)}
         return _row(value, report, None, final, units(kept))
 
 

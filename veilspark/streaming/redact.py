@@ -51,14 +51,20 @@ def redact_stored_streams(frame: DataFrame, kind: str = "rolling", policy: Optio
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, machine = None, None
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                if machine is None or row["stream_id"] != at:
-                    at, machine = row["stream_id"], MACHINES[kind](policy)
-                rows.append(_step(machine, row["stream_id"], row["seq"], row["chunk"], row["close"]))
-            for r in rows:  # Arrow takes maps as pairs
-                r["report"]["counts_by_reason"] = list(r["report"]["counts_by_reason"].items())
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            rows, reports, which = [], [], []
+            known: dict[int, int] = {}
+            for stream_id, number, text, closes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if machine is None or stream_id != at:
+                    at, machine = stream_id, MACHINES[kind](policy)
+                row = _step(machine, stream_id, number, text, closes)
+                report = row["report"]
+                if id(report) not in known:  # chunks that are only held share one report
+                    known[id(report)] = len(reports)
+                    reports.append(report | {"counts_by_reason": list(report["counts_by_reason"].items())})  # Arrow takes maps as pairs
+                which.append(known[id(report)])
+                rows.append(row)  # also keeps the report's id taken
+            columns = [pa.array([r[f.name] for r in rows], f.type) for f in schema if f.name != "report"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(reports, schema.field("report").type).take(pa.array(which, pa.int32()))], schema=schema)
 
     ordered = _columns(frame, stream, seq, chunk, close).repartition("stream_id").sortWithinPartitions("stream_id", "seq")
     return ordered.mapInArrow(run, OUTPUT)
