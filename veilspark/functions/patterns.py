@@ -30,12 +30,16 @@ PYTHON = {
 }
 
 _EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+# A boundary before a word character is the lack of one before it; the first letters are looked at first, as most
+# places fail there.
+_START = r"(?<![A-Za-z0-9_])"
+_FIRST = rf"(?:{_START}[A-Za-z0-9_]|(?<=[A-Za-z0-9_])[.!#$%&'*+/=?^`{{|}}~-])"
 #: JVM: group 1 stays, group 2 is replaced.
 JVM = {
-    "email": rf"(){_EDGE}({_LOCAL}@[A-Za-z0-9-]+\.(?!\.)(?:(?!\.[^A-Za-z0-9-]|\.\z)[A-Za-z0-9.-])*(?<!\.)){_EDGE}",
-    "bearer_token": rf"({_EDGE}(?i:Bearer|Token|Basic)[{SPACE}]+)([A-Za-z0-9._~+/=-]{{6,}}){_EDGE}",
-    "api_key": rf"(){_EDGE}((?:{_KEY})){_EDGE}",
-    "url": rf"""(){_EDGE}(https?://[^{SPACE}"'<>]+)""",
+    "email": rf"()({_FIRST}{_LOCAL[:-1]}*+@[A-Za-z0-9-]+\.(?!\.)(?:(?!\.[^A-Za-z0-9-]|\.\z)[A-Za-z0-9.-])*(?<!\.)){_EDGE}",
+    "bearer_token": rf"((?=[BTbt]){_START}(?i:Bearer|Token|Basic)[{SPACE}]+)([A-Za-z0-9._~+/=-]{{6,}}){_EDGE}",
+    "api_key": rf"()(?=[Aagkpstx]){_START}((?:{_KEY})){_EDGE}",
+    "url": rf"""()(?=h){_START}(https?://[^{SPACE}"'<>]+)""",
 }
 #: What a text must hold for a detector to find anything; cheap to test.
 NEEDS = {"email": ("@",), "bearer_token": ("bearer", "token", "basic"), "api_key": ("_", "-", "AKIA"), "url": ("http",)}
