@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterable, Mapping
-from dataclasses import asdict, dataclass, field, fields, replace
+from dataclasses import dataclass, field, fields, replace
+from functools import cached_property
 
 from .functions.labels import is_safe_label
 
@@ -71,9 +72,10 @@ class Limits:
     def lowered(self, **to: float) -> Limits:
         return replace(self, **{k: max(0, v) for k, v in to.items() if v != math.inf})
 
-    @property
+    @cached_property
     def valid(self) -> bool:
-        return all(v is None or (isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v) and v >= 0) for v in asdict(self).values())
+        values = [getattr(self, f.name) for f in fields(self)]
+        return all(v is None or (isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v) and v >= 0) for v in values)
 
 
 Found = tuple[str, int, int]  # reason, begin and end in UTF-16 units
@@ -97,11 +99,11 @@ class Options:
     limits: Limits = field(default_factory=Limits)
     replacement: Callable[[str], str] | Mapping[str, str] | None = None
 
-    @property
+    @cached_property
     def names(self) -> tuple[str, ...]:
         return BUILT_IN if self.built_ins is None else tuple(self.built_ins)
 
-    @property
+    @cached_property
     def detector_count(self) -> int:
         return len(self.names) + len(self.detectors)
 
@@ -115,6 +117,10 @@ class Options:
 
     def detector_problem(self) -> Refused | None:
         """What is wrong with the detectors; found after an input's own guards."""
+        return self._detector_problem
+
+    @cached_property
+    def _detector_problem(self) -> Refused | None:
         if any(name not in BUILT_IN for name in self.names):
             return Refused("invalid_redaction_options", message="Redaction options included an unknown built-in detector.")
         for d in self.detectors:
