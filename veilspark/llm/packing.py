@@ -50,7 +50,7 @@ def _complement(gap: int, count: np.ndarray, used: tuple[int, ...]) -> tuple[int
     def pair(total: int, most: int) -> tuple[int, int] | None:
         a = there[(there <= most) & (2 * there >= total) & (there < total)]
         b = total - a
-        fits = (left[b] > 0) & ((a != b) | (left[a] > 1))
+        fits = (left[a] > 0) & (left[b] > 0) & ((a != b) | (left[a] > 1))
         a = a[fits]
         if not len(a):
             return None
