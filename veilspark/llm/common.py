@@ -43,6 +43,30 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+#: Keys that are salted at most, rows that a key needs for it, and its salts.
+HOT, HOT_ROWS, SALTS = 1024, 32, 16
+
+
+def hot_keys(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """The ``HOT`` most frequent keys of ``frame``, written once: at most ``HOT`` rows, so they can be broadcast.
+
+    Any other key has at most one ``HOT``-th of the rows.
+    """
+    counts = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return cut(counts.orderBy(F.desc("n"), *keys).limit(HOT).where(F.col("n") >= HOT_ROWS).select(*keys, F.lit(True).alias("hot")))
+
+
+def salted(frame: DataFrame, keys: list[str], hot: DataFrame, by: str, salts: int = SALTS) -> DataFrame:
+    """Adds ``hot`` and ``salt``: rows of a hot key are dealt over the salts by the column ``by``."""
+    return frame.join(F.broadcast(hot), keys, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(by, F.lit(7)), F.lit(salts))).otherwise(0))
+
+
+def spread(frame: DataFrame, keys: list[str], hot: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Adds ``salt``: rows of a hot key come once for each salt. ``frame`` has one row for each key."""
+    every = F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")
+    return frame.join(F.broadcast(hot), keys, "left").withColumn("salt", F.explode(F.when(F.col("hot"), every).otherwise(F.array(F.lit(0).cast("long"))))).drop("hot")
+
+
 def id_text(col: str) -> Column:
     """The id as text, empty for null: the input of the crc32 that deals rows into folds."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -1,13 +1,14 @@
 """Exact deduplication that stays even under heavy groups of copies.
 
-Three stages, each grouping by the whole normalised text and not by its digest alone:
+Stages, each grouping by the whole normalised text and not by its digest alone:
 
 1. map side: Spark's partial aggregation merges equal texts inside each task;
-2. salted groups: (digest, text, salt) are merged after the first exchange, so that the
-   copies of one text spread over ``salts`` tasks;
-3. salt winners: at most ``salts`` rows per text meet and give the row that stays.
+2. salted groups: (digest, text, salt) are merged after the exchange. The most frequent digests (``HOT``
+   of them) are dealt over ``salts`` salts; any other digest has at most one ``HOT``-th of the rows and one salt;
+3. salt winners: at most ``salts`` rows per hot text meet and give the row that stays. A text with one
+   salt is done after stage 2, so texts cross the network once.
 
-The result is joined back on the digest and a second hash. Stage 3 proves that such a key
+The result is joined back on the digest and a second hash. The last step proves that such a key
 stands for one content only, and the query fails rather than mixing two texts.
 """
 
@@ -21,9 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import sliced, text_bytes
-
-SALTS = 16
+from .common import SALTS, hot_keys, salted, sliced, spread, text_bytes
 
 #: What names a text: a digest and a second, unrelated hash, both of the normalised bytes.
 Digest = Callable[[bytes], bytes]
@@ -52,13 +51,23 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, digest: Digest, keep_tex
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(rows, f"doc_id long, digest binary, other long, {last}")
 
 
-def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest: Digest = sha256) -> DataFrame:
+KEY = ["digest", "other"]
+
+
+def hot_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Digest = sha256) -> DataFrame:
+    return hot_keys(_keyed(docs, id_col, text_col, digest, False), KEY)
+
+
+def winners(docs: DataFrame, hot: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest: Digest = sha256) -> DataFrame:
     """One row per distinct normalised text: digest, other, keep_id, group_size."""
-    keyed = _keyed(docs, id_col, text_col, digest, True).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(salts)))
-    salted = keyed.groupBy("digest", "other", "norm", "salt").agg(F.max("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
-    texts = salted.groupBy("digest", "other", "norm").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"))
+    dealt = salted(_keyed(docs, id_col, text_col, digest, True), KEY, hot, "doc_id", salts)
+    merged = dealt.groupBy("digest", "other", "norm", "salt").agg(F.max("doc_id").alias("id"), F.count(F.lit(1)).alias("n"), F.max("hot").alias("hot"))
+    # The flag is an aggregate, so that both branches read one exchange.
+    done = merged.where("hot is null").select("digest", "other", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
+    met = merged.where("hot").groupBy("digest", "other", "norm").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"))
+    texts = done.unionByName(met.drop("norm"))
     return (
-        texts.groupBy("digest", "other")
+        texts.groupBy(*KEY)
         .agg(F.count(F.lit(1)).alias("contents"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
         .select("digest", "other", "keep_id", F.when(F.col("contents") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share a digest and a second hash"))).alias("group_size"))
     )
@@ -71,8 +80,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null ids only, keep_id is null and one of its rows stays. Rows that repeat an id within a group
     all count and one of them stays. An empty table gives no rows; other columns are not read.
     """
-    rows = _keyed(docs, id_col, text_col, digest, False).groupBy("doc_id", "digest", "other", "text_sha256").agg(F.count(F.lit(1)).alias("copies"))
-    joined = rows.join(winners(docs, id_col, text_col, salts, digest), ["digest", "other"])
+    hot = hot_digests(docs, id_col, text_col, digest)
+    rows = salted(_keyed(docs, id_col, text_col, digest, False), KEY, hot, "doc_id", salts)
+    rows = rows.groupBy("doc_id", *KEY, "salt", "text_sha256").agg(F.count(F.lit(1)).alias("copies"))
+    joined = rows.join(spread(winners(docs, hot, id_col, text_col, salts, digest), KEY, hot, salts), [*KEY, "salt"])
     return joined.select("doc_id", "keep_id", "group_size", "text_sha256", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256"
     )
@@ -80,7 +91,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one for each distinct normalised text."""
-    stay = winners(docs, id_col, text_col, salts).select(F.col("digest").alias("__d"), F.col("other").alias("__o"), F.col("keep_id").alias("__keep"))
+    stay = winners(docs, hot_digests(docs, id_col, text_col), id_col, text_col, salts).select(F.col("digest").alias("__d"), F.col("other").alias("__o"), F.col("keep_id").alias("__keep"))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text=text_col):
