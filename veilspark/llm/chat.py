@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hot_keys, salted, spread
 
 #: The role whose texts the loss covers.
 LEARNED = "assistant"
@@ -101,8 +101,13 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "depth", "start", "length", "n")), pa.array(keys, pa.binary())], ["node", "depth", "start", "length", "n", "key"]).filter(own)
 
 
-def prefix_tree(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The turns (``NODE_TURNS`` without the segment) and the nodes, of which each is emitted once.
+def _met(turns: DataFrame, nodes: DataFrame, hot: DataFrame) -> DataFrame:
+    """Turns with their nodes; the turns of a node that many conversations share are dealt over salts."""
+    return salted(turns, ["node"], hot, "conv_id").drop("hot").join(spread(nodes, ["node"], hot), ["node", "salt"]).drop("salt")
+
+
+def prefix_tree(table: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The turns (``NODE_TURNS`` without the segment), the nodes, of which each is emitted once, and the hot nodes.
 
     nodes: node, depth, start (position id of its first character), length, n (conversations through it) and
     place (of its first character in the emitted text, depth first). Turns that share a conversation and a turn
@@ -112,7 +117,8 @@ def prefix_tree(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     # A null conversation id is a conversation of its own; -2**63 stands for it as an owner.
     named = turns.withColumn("conv_id", F.coalesce("conv_id", F.lit(-(2**63))))
     shared = named.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("owner"))
-    counted = named.select("conv_id", "depth", "node", "start", "length").join(shared, "node")
+    hot = hot_keys(turns, ["node"])
+    counted = _met(named.select("conv_id", "depth", "node", "start", "length"), shared, hot)
     keyed = _by_conversation(counted, "depth").mapInArrow(_keys, "node binary, depth int, start long, length long, n long, key binary")
     ordered = cut(keyed.repartitionByRange("key", "depth").sortWithinPartitions("key", "depth"))
     sums = dict(ordered.groupBy(F.spark_partition_id().alias("part")).agg(F.sum("length").alias("n")).collect())  # a number per partition
@@ -129,7 +135,7 @@ def prefix_tree(table: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     nodes = ordered.mapInArrow(placed, "node binary, depth int, start long, length long, n long, key binary, place long").drop("key")
     segments = turns.groupBy("node").agg(F.min("segment").alias("segment"))
-    return turns.drop("segment"), nodes.join(segments, "node")
+    return turns.drop("segment"), nodes.join(segments, "node"), hot
 
 
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, shared_chars long, intervals array<struct<begin:long,end:long>>"
@@ -180,16 +186,16 @@ def format_chats(table: DataFrame) -> DataFrame:
     come first, and rows that repeat a turn number are ordered by role and text. An empty table gives no rows;
     other columns are not read.
     """
-    turns, nodes = prefix_tree(table)
-    full = turns.select("conv_id", "depth", "node", "start").join(nodes.select("node", "n", "place", "segment"), "node")
+    turns, nodes, hot = prefix_tree(table)
+    full = _met(turns.select("conv_id", "depth", "node", "start"), nodes.select("node", "n", "place", "segment"), hot)
     return _by_conversation(full, "depth").mapInArrow(_read, READ)
 
 
 def emitted(table: DataFrame) -> DataFrame:
     """The tree itself, one row per node: place, start, length, segment, loss (begin and end of the learned
     characters within the segment, or null) and ancestors (the intervals of the emitted text before the node)."""
-    turns, nodes = prefix_tree(table)
-    full = turns.select("conv_id", "depth", "node").join(nodes.select("node", "place", "length"), "node")
+    turns, nodes, hot = prefix_tree(table)
+    full = _met(turns.select("conv_id", "depth", "node"), nodes.select("node", "place", "length"), hot)
 
     def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, conv, spans = True, None, []
