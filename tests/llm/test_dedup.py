@@ -121,3 +121,20 @@ def test_near_copies_leave_one_document(spark):
     base = [f"w{i}" for i in range(400)]
     rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "other"])), (3, " ".join(reversed(base)))]
     assert [r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == [1, 3]
+
+
+def test_near_copies_go_at_four_fifths_of_their_shingles_and_not_below(spark):
+    rng = random.Random(5)
+    rows, gone = [], set()
+    for i in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        other = list(words)
+        for k in rng.sample(range(10, 110, 10), 2 if i % 2 else 4):  # each word changed takes five shingles of 116 with it
+            other[k] = "x"
+        a, b = ({tuple(w[j : j + 5]) for j in range(116)} for w in (words, other))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        if len(a & b) / len(a | b) >= 0.8:
+            gone.add(2 * i + 1)
+    assert gone == set(range(3, 120, 4))
+    found = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in found.collect()} == set(range(120)) - gone

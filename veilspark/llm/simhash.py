@@ -197,11 +197,137 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: The near-dedup stage: words of a shingle, least Jaccard similarity of two texts' distinct shingles.
+NEAR_SHINGLE = 5
+SIMILAR = 0.8
+#: Bands of ROWS minima each. A pair at SIMILAR shares no band with probability (1 - 0.8**4)**32 = 5e-8.
+BANDS, ROWS = 32, 4
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Rows up to which a side of a join is broadcast.
+SMALL = 1 << 18
+
+
+def shingles(text: bytes, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles; a shorter text is one shingle, one without words has none."""
+    words = text.lower().split()
+    h = xxhash.xxh64_intdigest
+    found = {h(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))} if words else ()
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def bands(codes: np.ndarray) -> np.ndarray:
+    """The MinHash band keys of a set of hashes."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for i in range(0, len(codes), 4096):
+        least = np.minimum(least, ((codes[i : i + 4096] ^ _MIX[0][:, None]) * _MIX[1][:, None]).min(axis=1))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for j in range(ROWS):
+        key = (key ^ least[j::ROWS]) * _MIX[1][j]
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, node (the hash of the shingle set), keys (its bands) and codes (the set) of every row."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 2 << 20):
+            codes = [shingles(t) for t in batch.column("text").to_pylist()]
+            nodes = [xxhash.xxh64_intdigest(c.tobytes(), SEED) if len(c) else 0 for c in codes]
+            columns = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array([bands(c) if len(c) else [] for c in codes], pa.list_(pa.int64())), pa.array([c.tobytes() for c in codes], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "node", "keys", "codes"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(rows, "doc_id long, node long, keys array<long>, codes binary")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Of rows sorted by their first column: each value with its rows."""
+    key: int | None = None
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])).tolist() if len(keys) else []
+        for a, b in zip(edges, edges[1:]):
+            if kept and keys[a] != key:
+                yield key, kept
+                kept = []
+            key = int(keys[a])
+            kept.append(batch.slice(a, b - a))
+    if kept:
+        yield key, kept
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (key, node): the nodes of each key with several, under a hash of the nodes, as pairs often share many keys."""
+    for _, parts in _runs(batches):
+        if sum(p.num_rows for p in parts) > 1:
+            nodes = np.unique(np.concatenate([p.column("node").to_numpy() for p in parts]))
+            if len(nodes) > 1:
+                group = np.full(len(nodes), xxhash.xxh64_intdigest(nodes.tobytes(), SEED), np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(nodes)], ["group", "node"])
+
+
+def similar_forest(sets: list[np.ndarray], least: float = SIMILAR) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets with a Jaccard similarity of ``least`` or more, as places."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    starts = np.searchsorted(code[order], np.arange(code.max() + 2))
+    posts, own = owner[order], np.split(code, np.cumsum(sizes)[:-1])
+    found, free = [], np.ones(len(sets), bool)
+    for seed in range(len(sets)):
+        stack = [seed] if free[seed] else []
+        free[seed] = False
+        while stack and free.any():
+            at = stack.pop()
+            common = np.zeros(len(sets), np.int64)
+            for c in own[at]:
+                common[posts[starts[c] : starts[c + 1]]] += 1  # a set holds a code once
+            near = np.flatnonzero(free & (common >= least * (sizes + sizes[at] - common) - 1e-9))
+            free[near] = False
+            found += [(at, int(k)) for k in near]
+            stack.extend(near.tolist())
+    return found
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (group, node, codes) sorted by group: verified links."""
+    for _, parts in _runs(batches):
+        nodes = np.concatenate([p.column("node").to_numpy() for p in parts])
+        links = similar_forest([np.frombuffer(c, np.uint64) for p in parts for c in p.column("codes").to_pylist()])
+        if links:
+            a, b = nodes[np.array(links).T]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _small(frame: DataFrame) -> DataFrame:
+    """``frame``, written, and broadcast if it has few rows: the other side then need not be shuffled."""
+    frame = cut(frame)
+    return F.broadcast(frame) if frame.count() <= SMALL else frame
+
+
+def similar_links(rows: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of ``_sets``: enough to connect all with a similarity of ``SIMILAR``, each verified on the whole sets."""
+    keyed = rows.select(F.explode("keys").alias("key"), "node")
+    groups = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_groups, "group long, node long").distinct())
+    sets = rows.select("node", "codes").join(_small(groups.select("node").distinct()), "node").dropDuplicates(["node"])
+    return groups.join(sets, "node").select("group", "node", "codes").repartition("group").sortWithinPartitions("group").mapInArrow(_similar, "a long, b long").distinct()
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the least of their component, with all their columns: one document of each group.
 
+    Texts link if their distinct five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints of
+    64 bits cannot find these (such texts differ in up to 17 bits and more), so MinHash bands propose them and
+    whole shingle sets decide. Texts without words are copies of each other.
     Ids are taken to name one row, as after exact deduplication; rows with a null id stay.
     """
-    found = simhash_components(docs, id_col, text_col)
-    gone = found.where("doc_id > component_id").select(F.col("doc_id").alias("__gone"))
+    rows = cut(_sets(docs, id_col, text_col))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
+    roots = components(similar_links(rows))
+    placed = cut(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    ids = placed.groupBy("root").agg(F.min("least").alias("first"))
+    named = placed.join(ids, "root").select("node", "first")
+    gone = _small(rows.select("doc_id", "node").join(named, "node").where("doc_id > first").select(F.col("doc_id").alias("__gone")))
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
