@@ -44,6 +44,15 @@ def test_weak_parts_need_their_complement():
     assert kinds(f"{point} 0123456789abcdef0123") == ["weak_endpoint", "hex"]
 
 
+def test_long_values_are_whole():
+    for n in (20, 128, 129, 300, 100_000):
+        secret = "Zx9" + "k" * (n - 3)
+        assert redact(f"{KEY} {secret}.", scan_text(f"{KEY} {secret}.")) == "[SECRET:access] [SECRET:weak_secret]."
+        text = f"client_id={secret} password=abcdefghijkl"
+        assert redact(text, scan_text(text)) == "[SECRET:weak_id] [SECRET:assign]"
+    assert scan_text(f"{KEY} {'k' * 300} {'-7' * 150}") == [Span("access", 0, 20)]
+
+
 def test_many_candidates_stay_cheap():
     text = "client_id=a1b2c3 " * 20_000
     assert scan_text(text) == [] and len(scan_text(text + " Zx9" + "k" * 20 + "7Q")) > 1

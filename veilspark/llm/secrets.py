@@ -39,9 +39,11 @@ ASSIGN_LEAST = 12
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 
-WEAK_ID = re.compile(r"""(?<![A-Za-z0-9_])(?:[Uu]ser(?:[Nn]ame)?|[Uu]ser_id|[Ll]ogin|[Cc]lient_?[Ii]d|[Aa]ccess_?[Kk]ey(?:_?[Ii]d)?|[Aa]ccount(?:_id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]{3,128})""")
+WEAK_ID = re.compile(r"""(?<![A-Za-z0-9_])(?:[Uu]ser(?:[Nn]ame)?|[Uu]ser_id|[Ll]ogin|[Cc]lient_?[Ii]d|[Aa]ccess_?[Kk]ey(?:_?[Ii]d)?|[Aa]ccount(?:_id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]{3,})""")
 WEAK_ENDPOINT = re.compile(r"""(?<![A-Za-z0-9+.-])(?:[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9._-]+(?::[0-9]{1,5})?(?:/[A-Za-z0-9._~/%-]*)?|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){1,6}:[0-9]{2,5})(?![A-Za-z0-9])""")
-WEAK_SECRET = re.compile(r"""(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{0,128}?[0-9])(?=[A-Za-z0-9+/_=-]{0,128}?[A-Za-z])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_=-])""")
+# A greedy run is maximal, so each is matched once; its digit and letter are asked for afterwards.
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 BLANK_LINE = re.compile(r"\n[\x20\t\r]*\n")
 
 
@@ -102,7 +104,7 @@ def _free(spans: list[Span], taken: list[Span]) -> list[Span]:
 def linked_spans(text: str, base: list[Span], window: int = WINDOW) -> list[Span]:
     """Weak candidates whose complementary part lies in the same scope."""
     # Without a secret part and an identifying part there is nothing to link.
-    secrets = _free([Span("weak_secret", *m.span()) for m in WEAK_SECRET.finditer(text)], base)
+    secrets = _free([Span("weak_secret", *m.span()) for m in WEAK_SECRET.finditer(text) if DIGIT.search(m[0]) and LETTER.search(m[0])], base)
     strong_secrets = [s for s in base if s.kind in ("assign", "hex")]
     if not secrets and not strong_secrets:
         return []
