@@ -18,6 +18,14 @@ def test_query_matches_its_sql(spark, db, name):
     assert rows_of(__spark_entry__.queries()[name](spark, FOLDER)) == rows_of_sql(db, __spark_entry__.oracle_sql()[name])
 
 
+@pytest.mark.parametrize("name", ["q_email_redact", "q_report_by_lang", "q_buffered_stream"])
+def test_very_long_documents_are_processed_whole(spark, tmp_path, name):
+    long = "lorem ipsum " * 12_000 + "by user@example.invalid"
+    spark.createDataFrame([(1, long, "en"), (2, "short", "en"), (3, "a@example.invalid", "fr")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = rows_of(__spark_entry__.queries()[name](spark, str(tmp_path)))
+    assert len(long) > 128_000 and found == rows_of_sql(tables(str(tmp_path)), __spark_entry__.oracle_sql()[name])
+
+
 def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).count() == 200
 

@@ -28,6 +28,9 @@ EMAIL = r"\b[A-Za-z0-9.!#$%&''*+/=?^_`{|}~-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\
 BEARER = r"(\b(?:[Bb][Ee][Aa][Rr][Ee][Rr]|[Tt][Oo][Kk][Ee][Nn]|[Bb][Aa][Ss][Ii][Cc])\s+)[A-Za-z0-9._~+/=-]{6,}\b"
 URL = r"""\bhttps?://[^\s"''<>]+"""
 
+#: Limits that any document fits, for queries whose feature is not the limit: a string has fewer units than this.
+WHOLE = Limits(max_string_length=2**32, max_stream_buffer_length=2**32)
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -63,7 +66,7 @@ def _made_sql(text: str, out: str, n: int | None = None, error: str | None = Non
 
 @query(f"SELECT doc_id, regexp_replace(text, '{EMAIL}', '[REDACTED:email]', 'g') AS value, len(regexp_extract_all(text, '{EMAIL}'))::BIGINT AS n, NULL::VARCHAR AS error FROM documents")
 def q_email_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(redact_text(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", policy=Options(built_ins=("email",))), "doc_id")
+    return _flat(redact_text(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", policy=Options(built_ins=("email",), limits=WHOLE)), "doc_id")
 
 
 @query(f"SELECT page_id, regexp_replace(url, '{URL}', '[REDACTED:url]', 'g') AS value, len(regexp_extract_all(url, '{URL}'))::BIGINT AS n, NULL::VARCHAR AS error FROM pages")
@@ -141,15 +144,15 @@ def _report_sql(table: str, key: str) -> str:
     sum(len(regexp_extract_all(text, '{EMAIL}')))::BIGINT AS total_redactions, sum(len(regexp_extract_all(text, '{EMAIL}')))::BIGINT AS emails, sum({_UNITS})::BIGINT AS string_code_units FROM {table} GROUP BY 1"""
 
 
-def _merged(frame: DataFrame, key: str) -> DataFrame:
-    done = redact_text(frame.select(key, "text"), "text").select(key, F.col("redacted.report").alias("report"))
+def _merged(frame: DataFrame, key: str, limits: Limits = Limits()) -> DataFrame:
+    done = redact_text(frame.select(key, "text"), "text", policy=Options(limits=limits)).select(key, F.col("redacted.report").alias("report"))
     emails = F.coalesce(F.col("counts_by_reason")["email"], F.lit(0)).alias("emails")
     return merge_reports(done, [key]).select(key, "n_reports", "status", "total_redactions", emails, "string_code_units")
 
 
 @query(_report_sql("documents", "lang"))
 def q_report_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(read_table(spark, sf_dir, "documents"), "lang")
+    return _merged(read_table(spark, sf_dir, "documents"), "lang", WHOLE)
 
 
 @query(_report_sql("conversations", "role"))
@@ -363,7 +366,7 @@ def q_rolling_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_STREAM_SQL)
 def q_buffered_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _joined(redact_stored_streams(_chunks(spark, sf_dir, 2048), "buffered"))
+    return _joined(redact_stored_streams(_chunks(spark, sf_dir, 2048), "buffered", policy=Options(limits=WHOLE)))
 
 
 # ---- tooling
