@@ -118,6 +118,21 @@ def test_long_inputs_do_not_harm_the_jvm(spark):
     assert [r.value for r in rows] == [redact(t, Options())[0] for t in texts]
 
 
+#: One text for each alternative of the key grammar, each with only the characters that its shape asks for.
+KEY_SHAPES = ["sk" + "_abcdef", "pk" + "_test_abcdef", "api" + "_a12345", "key" + "_A12345", "token" + "_abcdef", "sk" + "-" + "a" * 12, "sk" + "-proj-" + "a" * 12, AWS, *("gh" + c + "_" + "a1" * 18 for c in "pousr"), GOOGLE, *("xo" + "x" + c + "-" + "1" * 10 for c in "aboprst")]
+SCHEMES = [f"{s} abcdef" for s in ("Bearer", "Token", "Basic", "bearer", "TOKEN", "bAsIc")]
+
+
+@pytest.mark.parametrize("name, secrets", [("api_key", KEY_SHAPES), ("bearer_token", SCHEMES)])
+def test_each_alternative_is_found_alone_on_both_paths(spark, name, secrets):
+    texts = [f(s) for s in secrets for f in (lambda s: s, lambda s: f"key {s} end", lambda s: f"({s}), \u00e9{s}")]
+    options = Options(built_ins=(name,))
+    rows = redact_text(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t", "r", options).select("i", "r.value", "r.report.total_redactions").collect()
+    for row in rows:
+        value, report, _ = redact(texts[row.i], options)
+        assert row.total_redactions == report.total == (2 if texts[row.i].startswith("(") else 1) and row.value == value, texts[row.i]
+
+
 def test_no_canary_in_any_result():
     rng = random.Random(4)
     for text in random_texts(500, 9):

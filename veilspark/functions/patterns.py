@@ -42,6 +42,6 @@ JVM = {
     "url": rf"""()(?=h){_START}(https?://[^{SPACE}"'<>]+)""",
 }
 #: What a text must hold for a detector to find anything; cheap to test.
-NEEDS = {"email": ("@",), "bearer_token": ("bearer", "token", "basic"), "api_key": ("_", "-", "AKIA"), "url": ("http",)}
+NEEDS = {"email": ("@",), "bearer_token": ("bearer", "token", "basic"), "api_key": ("_", "-", "AKIA", "AIza"), "url": ("http",)}
 #: Python: what any of the built-in detectors needs; most short strings and keys have nothing of it.
 ANY = re.compile(rf"[@_{SPACE}-]|http|AKIA|AIza")
