@@ -1,11 +1,12 @@
 import random
+import re
+import time
 
 import pytest
 
 from veilspark import Detector, Limits, Options, Refused, create_profile, default_token, redact_text, regex_detector
 from veilspark.functions.labels import is_safe_label, safe_label
-from veilspark.functions.patterns import PYTHON
-from veilspark.functions.redact import redact, units
+from veilspark.functions.redact import built_in_spans, redact, units
 from veilspark.operators.text import result_row
 
 # Credential-shaped strings are put together here, so that none lies in the file.
@@ -133,6 +134,23 @@ def test_each_alternative_is_found_alone_on_both_paths(spark, name, secrets):
         assert row.total_redactions == report.total == (2 if texts[row.i].startswith("(") else 1) and row.value == value, texts[row.i]
 
 
+def test_email_search_is_that_of_the_plain_grammar():
+    """The plain grammar tries every boundary; the linear search must give the same spans."""
+    plain = re.compile(r"\b[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\b", re.A)
+    rng = random.Random(8)
+    for _ in range(20_000):
+        text = "".join(rng.choice("ab.-_!@@@.x9 \u00e9") for _ in range(rng.randint(1, 24)))
+        assert built_in_spans("email", text) == [m.span() for m in plain.finditer(text)], text
+
+
+def test_hostile_emails_take_linear_time(spark):
+    texts = [unit * (128_000 // len(unit)) + "@" for unit in (".a", "a", "a@b-", "a@b.", "!a.")] + ["a@b" + ".c_" * 42_000]
+    began = time.perf_counter()
+    rows = redact_text(spark.createDataFrame([(t,) for t in texts], "t string"), "t", "r", Options(built_ins=("email",))).select("r.value").collect()
+    model = [redact(t, Options(built_ins=("email",)))[0] for t in texts]
+    assert [r.value for r in rows] == model and time.perf_counter() - began < 30
+
+
 def test_no_canary_in_any_result():
     rng = random.Random(4)
     for text in random_texts(500, 9):

@@ -19,7 +19,7 @@ from ..options import Options, default_token
 from .patterns import JVM, NEEDS
 
 #: Detectors whose first group can hold something.
-PREFIXED = ("bearer_token",)
+PREFIXED = ("email", "bearer_token")
 _SPAN = "struct<s:int,e:int,o:int,r:string>"
 
 

@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from ..options import Detector, Found, Options, Refused, is_safe_reason
-from .patterns import ANY, PYTHON
+from .patterns import ANY, EMAIL_NEXT, PYTHON
 
 
 def units(text: str) -> int:
@@ -93,9 +93,15 @@ def _utf16_places(text: str):
 
 def built_in_spans(name: str, text: str) -> list[tuple[int, int]]:
     pattern, group = PYTHON[name]
-    if name == "email" and "@" not in text:
-        return []
-    return [m.span(group) for m in pattern.finditer(text)]
+    if name != "email":
+        return [m.span(group) for m in pattern.finditer(text)]
+    found: list[tuple[int, int]] = []
+    if "@" in text:
+        at = 0
+        while m := (found and EMAIL_NEXT.match(text, at)) or pattern.search(text, at):
+            found.append((at if m.re is EMAIL_NEXT else m.start(group), m.end()))
+            at = m.end()
+    return found
 
 
 def _custom_spans(detector: Detector, text: str, most: float) -> list[tuple[str, int, int]]:
