@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import random
 import zlib
@@ -8,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from veilspark.llm.bpe import WordCache, bpe_encode_decode, words_of
+from veilspark.llm.bpe import TextEncoder, bpe_encode_decode
 from veilspark.llm.chat import emitted, escape, format_chats, format_turn, read_turn, unescape
 from veilspark.llm.packing import Places, best_fit_pack, plan
 
@@ -31,8 +32,18 @@ HARD = ["café. Straße, x... a,b İstanbul don't <|endoftext|> a. . , 9. é. ï
 
 def test_words_encode_like_whole_texts(library, tokenizer_path):
     texts = [*HARD, *[t or "" for _, t in ROWS]]
-    found = WordCache(tokenizer_path, most=3).ids([words_of(t.encode()) for t in texts])
-    assert [f.tolist() for f in found] == [encode(library, t) for t in texts]
+    encoder = TextEncoder(tokenizer_path, known=3)
+    for some in (texts, [], texts[:2], texts):  # the table is emptied in between
+        ids, sizes = encoder.ids([t.encode() for t in some])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes))[:-1]] == [encode(library, t) for t in some]
+
+
+def test_words_merge_like_the_library(library, tokenizer_path):
+    rng = np.random.default_rng(3)
+    letters = list("abcdeeeettaaooinsrhl'.,!-#0123\u00e9\u00df\u00fc\u00f1")
+    words = ["".join(rng.choice(letters, rng.integers(1, 20))) for _ in range(5000)] + ["a" * n for n in range(1, 60)] + ["ab" * n + "!" for n in range(1, 30)]
+    ids, sizes = TextEncoder(tokenizer_path).ids([w.encode() for w in words])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes))[:-1]] == [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
 
 
 @settings(max_examples=200, deadline=None)
@@ -43,7 +54,8 @@ def test_any_text_encodes_alike(text):
 
     path = str(public_tokenizers.path("word_bpe_49k.json"))
     library = _cached.setdefault(path, Tokenizer.from_file(path))
-    assert WordCache(path).ids([words_of(text.encode("utf-8", "replace"))])[0].tolist() == encode(library, text.encode("utf-8", "replace").decode())
+    encoder = _cached.setdefault("encoder", TextEncoder(path))
+    assert encoder.ids([text.encode("utf-8", "replace")])[0].tolist() == encode(library, text.encode("utf-8", "replace").decode())
 
 
 _cached: dict = {}
@@ -135,6 +147,59 @@ def test_pieces_round_trip(docs, library, tokenizer_path):
     assert len(sequences) <= -(-sum(len(ids) for _, ids in texts) // 2048) + 1
 
 
+def plain_best_fit(lengths, capacity):
+    """Best-fit decreasing, a piece at a time."""
+    gaps = []
+    for x in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(gaps, x)
+        bisect.insort(gaps, (gaps.pop(i) if i < len(gaps) else capacity) - x)
+    return len(gaps)
+
+
+SPREADS = {
+    "uniform": lambda rng: rng.integers(1, 2049, 5000),
+    "sparse": lambda rng: rng.integers(1, 2049, 300),
+    "long": lambda rng: rng.integers(200, 2049, 500),
+    "log-normal": lambda rng: np.clip(rng.lognormal(5.5, 1.0, 5000).astype(int) + 1, 1, 2048),
+    "middle": lambda rng: rng.integers(100, 900, 3000),
+    "few lengths": lambda rng: rng.choice([700, 648, 350, 1400, 9], 1000),
+}
+
+
+@pytest.mark.parametrize("name", SPREADS)
+def test_plans_need_no_more_sequences_than_plain_best_fit(name):
+    for seed in range(3):
+        lengths = SPREADS[name](np.random.default_rng(seed))
+        assert sum(s.times for s in plan(Counter(lengths.tolist()))) <= plain_best_fit(lengths.tolist(), 2048)
+
+
+def optimum(lengths, capacity):
+    """The least number of sequences, by trying every subset."""
+    n = len(lengths)
+    best = {0: (1, 0)}  # pieces placed: sequences, and what the last one holds
+    for mask in range(1, 1 << n):
+        found = []
+        for i in range(n):
+            if mask >> i & 1:
+                k, held = best[mask ^ (1 << i)]
+                found.append((k, held + lengths[i]) if held + lengths[i] <= capacity else (k + 1, lengths[i]))
+        best[mask] = min(found)
+    return best[(1 << n) - 1][0]
+
+
+@pytest.mark.parametrize("seed", range(80))
+def test_small_plans_are_near_the_optimum(seed):
+    rng = random.Random(seed)
+    lengths = [rng.randint(1, 20) for _ in range(rng.randint(1, 10))]
+    least, found = optimum(lengths, 20), sum(s.times for s in plan(Counter(lengths), 20))
+    assert least <= found <= min(plain_best_fit(lengths, 20), least + 1)
+
+
+def test_exact_triples_need_fewer_sequences_where_no_piece_is_long():
+    lengths = np.random.default_rng(1).integers(100, 900, 20_000).tolist()
+    assert sum(s.times for s in plan(Counter(lengths))) < plain_best_fit(lengths, 2048)
+
+
 # ---- chats
 
 

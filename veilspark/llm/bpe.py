@@ -16,8 +16,11 @@ holds more than one block or one bucket of distinct words.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import json
+import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, compress, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,11 @@ BUCKETS_EACH = 4
 
 _loaded: dict[str, object] = {}
 
+#: What this module knows of the tokenizer file, as its normalizer and pre-tokenizer say it; others are refused.
+# Fixed values.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS, PRE_TOKENIZERS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
+
 
 def load(path: str):
     """The tokenizer, once for each worker; truncation and padding are off."""
@@ -44,57 +52,169 @@ def load(path: str):
         found = Tokenizer.from_file(path)
         found.no_truncation()
         found.no_padding()
+        normal, split = (json.loads(x.__getstate__()) for x in (found.normalizer, found.pre_tokenizer))
+        own = [x["type"] for x in normal.get("normalizers", [])], [x["type"] for x in split.get("pretokenizers", [])]
+        if own != (NORMALIZERS, PRE_TOKENIZERS) or split["pretokenizers"][0]["pattern"] != {"Regex": SPLIT}:
+            raise ValueError("the tokenizer must drop white space, lower-case and split as this module does")
         _loaded[path] = found
     return _loaded[path]
 
 
-def _letters(word: bytes) -> bytes | None:
-    """The lower-cased word if it is one run of Latin letters, which the tokenizer keeps whole; else None."""
-    if word.isalpha():
-        return word.lower()
-    text = word.decode("utf-8", "replace").lower()
-    return text.encode() if text.isalpha() and max(text) < "\u0250" else None
+#: A word of printable ASCII in the tokenizer's own parts; marks, which are one part behind letters.
+_PARTS, _PRINTABLE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"), re.compile(rb"[!-~]+")
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The character that stands for a byte within the model: its own if that can be seen, else one from 256 on, in order.
+_CHARS = {b: b for b in _PLAIN} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(_PLAIN)))}
+#: Letters up to U+024F are composed already and stay so lower-cased; these lie above.
+_ABOVE = re.compile("[\u0250-\U0010ffff]")
+#: Bytes of a word that is merged in arrays; the library encodes longer ones.
+LONGEST = 48
 
 
-def _encode_letters(path: str, words: list[bytes], together: int = 64) -> dict[bytes, bytes]:
-    """The ids of runs of letters, many to a call: each word's last piece says that a word ends there."""
-    if not words:
-        return {}
-    joined = [b" ".join(words[i : i + together]).decode() for i in range(0, len(words), together)]
-    ids = np.concatenate([np.array(e.ids, np.uint32) for e in load(path).encode_batch_fast(joined, add_special_tokens=False)])
-    data, ends = ids.tobytes(), (4 * (np.flatnonzero(_ends(path)[ids]) + 1)).tolist()
-    return {w: data[a:b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
+def parts_of(word: bytes) -> list[str] | None:
+    """The parts of a word that the tokenizer encodes by themselves, lower-cased; None where only it can tell."""
+    return None if b"<|" in word or len(word) > LONGEST or not _PRINTABLE.fullmatch(word) else _PARTS.findall(word.decode().lower())
 
 
-def encode_words(path: str, words: list[bytes]) -> list[bytes]:
-    """The ids of each word, as uint32 bytes; invalid UTF-8 is replaced as Spark shows it.
+def gathered(index: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that ``index`` names, in a row."""
+    n = sizes[index]
+    return flat[np.repeat(starts[index] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
+def _runs(sizes: list[int] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes."""
+    sizes = np.asarray(sizes, np.int64)
+    return np.cumsum(sizes) - sizes, sizes
 
-    Of letters followed by one full stop or comma the letters and the mark are encoded by themselves, as the
-    tokenizer parts them too; so a word is encoded once with and without its mark.
+
+class Encoder:
+    """Encodes many words at once: all parts are merged together, in arrays, a step of each part at a time.
+
+    In a step each part merges its pair of the lowest rank wherever it stands. A merge that uses the merged piece
+    ranks later, so this is the order of the library, which merges one place at a time.
     """
-    stems: dict[bytes, tuple[bytes, bytes]] = {}  # word: its letters and its mark
-    for w in words:
-        stem = _letters(w)
-        if stem is not None:
-            stems[w] = (stem, b"")
-        elif w[-1:] in (b".", b",") and (stem := _letters(w[:-1])) is not None:
-            stems[w] = (stem, w[-1:])
-    letters = _encode_letters(path, list({stem for stem, _ in stems.values()}))
-    other = [*{w for w in words if w not in stems}, b".", b","]
-    encoded = load(path).encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
-    rest = {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(other, encoded, strict=True)}
-    marks = {b"": b"", b".": rest[b"."], b",": rest[b","]}
-    found = {w: letters[stem] + marks[mark] for w, (stem, mark) in stems.items()}
-    return [found[w] if w in found else rest[w] for w in words]
-
-
-def _ends(path: str) -> np.ndarray:
-    """By id: whether the piece ends a word."""
-    if (key := f"ends of {path}") not in _loaded:
-        _loaded[key] = np.array([p.endswith("</w>") for p in pieces(path)])
+
+    NONE = np.iinfo(np.int32).max
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer = load(path)
+        model = json.loads(self.tokenizer.to_str())["model"]
+        vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        left, right = (np.array([vocab[m[i]] for m in merges], np.int64) for i in (0, 1))
+        self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)
+        if len(np.unique(self.merged)) != len(merges):
+            raise ValueError("two merges of the tokenizer make one piece")
+        key = (left << 32) | right
+        self.rank = np.argsort(key).astype(np.int32)
+        self.keys = key[self.rank]
+        chars = [chr(_CHARS[b]) for b in range(256)]
+        # Symbols of a part at first: by byte, and by 256 + byte for the last one.
+        self.symbols = np.array([vocab[c] for c in chars] + [vocab[f"{c}</w>"] for c in chars], np.int32)
+        self.first = self._ranks(np.repeat(self.symbols, 512), np.tile(self.symbols, 512)).reshape(512, 512)
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair, NONE where it does not merge."""
+        key = (a.astype(np.int64) << 32) | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], self.NONE)
+
+    def merge(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts in a row, and how many each has. No part is empty."""
+        n = np.fromiter(map(len, parts), np.int64, len(parts))
+        code = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+        code[np.cumsum(n) - 1] += 256
+        part = np.repeat(np.arange(len(parts)), n)
+        symbol, rank = self.symbols[code], np.full(len(code), self.NONE, np.int32)
+        inside = part[1:] == part[:-1]
+        rank[:-1][inside] = self.first[code[:-1][inside], code[1:][inside]]
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbol):
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            sizes = np.diff(starts, append=len(part))
+            best = np.minimum.reduceat(rank, starts)
+            least = np.repeat(best, sizes)
+            open_ = least != self.NONE
+            if not open_.all():
+                done.append((part[~open_], symbol[~open_]))
+                part, symbol, rank, least = part[open_], symbol[open_], rank[open_], least[open_]
+                if not len(symbol):
+                    break
+            hit = np.flatnonzero(rank == least)
+            # Of a run of overlapping places every other one merges.
+            run = np.concatenate([[True], hit[1:] != hit[:-1] + 1])
+            if not run.all():
+                order = np.arange(len(hit))
+                hit = hit[(order - np.maximum.accumulate(np.where(run, order, 0))) % 2 == 0]
+            symbol[hit] = self.merged[rank[hit]]
+            keep = np.ones(len(symbol), bool)
+            keep[hit + 1] = False
+            part, symbol, rank = part[keep], symbol[keep], rank[keep]
+            at = hit - np.arange(len(hit))
+            for where in (at, at[at > 0] - 1):
+                rank[where] = self.NONE
+                where = where[where + 1 < len(part)]
+                where = where[part[where] == part[where + 1]]
+                rank[where] = self._ranks(symbol[where], symbol[where + 1])
+        part, symbol = (np.concatenate([d[i] for d in done]) if done else np.zeros(0, np.int64) for i in (0, 1))
+        return symbol[np.argsort(part, kind="stable")].astype(np.uint32), np.bincount(part, minlength=len(parts))
+
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each has; invalid UTF-8 is replaced as Spark shows it.
+
+        Letters with and without a mark share their encoding.
+        """
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        number: defaultdict = defaultdict(count().__next__)
+        get = number.__getitem__
+        # Letters with or without marks, which most words are, go by whole lists.
+        behind = [w.rstrip(_MARKS) for w in words]
+        joined = b"\n".join(behind).decode("utf-8", "replace").lower()
+        stems = joined.split("\n")
+        plain = np.fromiter(map(str.isalpha, stems), bool, len(words))
+        length, size = (np.fromiter(map(len, x), np.int64, len(words)) for x in (words, behind))
+        plain &= length <= LONGEST
+        if _ABOVE.search(joined):
+            plain &= np.fromiter((_ABOVE.search(s) is None for s in stems), bool, len(words))
+        marked = plain & (length > size)
+        rest = np.flatnonzero(~plain)
+        found = [parts_of(words[i]) for i in rest.tolist()]
+        other = {i: words[i] for i, f in zip(rest.tolist(), found, strict=True) if f is None}
+        own = plain.astype(np.int64) + marked
+        own[rest] = [len(f or ()) for f in found]
+        at, index = np.cumsum(own) - own, np.zeros(own.sum(), np.int64)
+        index[at[plain]] = list(map(get, compress(stems, plain)))
+        index[at[marked] + 1] = [get(w[n:].decode()) for w, n in zip(compress(words, marked), size[marked].tolist(), strict=True)]
+        index[np.repeat(~plain, own)] = [get(p) for f in found if f for p in f]
+        flat, sizes = self.merge("\n".join(number).encode().split(b"\n") if number else [])
+        starts, sizes = _runs(sizes)
+        ids = gathered(index, flat, starts, sizes)
+        totals = np.bincount(np.repeat(np.arange(len(words)), own), sizes[index], len(words)).astype(np.int64)
+        if other:
+            some = [w.decode("utf-8", "replace") for w in other.values()]
+            found = [np.array(e.ids, np.uint32) for k in range(0, len(some), 4096) for e in self.tokenizer.encode_batch_fast(some[k : k + 4096], add_special_tokens=False)]
+            places = np.repeat(np.cumsum(totals)[list(other)], [len(x) for x in found])
+            ids = np.insert(ids, places, np.concatenate(found))
+            totals[list(other)] = [len(x) for x in found]
+        return ids, totals
+
+
+def encoder(path: str) -> Encoder:
+    """That of this worker; its size is that of the vocabulary."""
+    if (key := f"encoder of {path}") not in _loaded:
+        _loaded[key] = Encoder(path)
     return _loaded[key]
 
 
+def encode_words(path: str, words: list[bytes]) -> list[bytes]:
+    """The ids of each word, as uint32 bytes."""
+    ids, sizes = encoder(path).words(words)
+    data, ends = ids.tobytes(), (4 * np.cumsum(sizes)).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def words_of(text: bytes) -> list[bytes]:
     """The words of a text. A-Z are lower-cased, as the tokenizer does, unless a special token may be in it."""
     return (text if b"<|" in text else text.lower()).split()
@@ -106,35 +226,41 @@ def pieces(path: str) -> list[str]:
     return [t.id_to_token(i) or "" for i in range(t.get_vocab_size(with_added_tokens=True))]
 
 
-class WordCache:
-    """Ids of words for one worker, as bytes, in two generations of at most about ``most`` words each.
-
-    A full generation becomes the old one; words that are still met move over, the others go with it.
-    """
+#: Words that a worker knows before it starts anew, and the bytes of their text.
+KNOWN, KNOWN_BYTES = 300_000, 16 << 20
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
-        self.path, self.most, self.known, self.old = path, most, {}, {}
 
-    def ids(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """The ids of texts, given as their words; new words are encoded together."""
-        missing = set().union(*texts).difference(self.known)
-        if missing and len(self.known) + len(missing) > self.most:
-            self.old, self.known = self.known, {}
-            missing = set().union(*texts)
-        met = {w: ids for w in missing if (ids := self.old.get(w)) is not None}
-        self.known.update(met)
-        new = list(missing.difference(met))
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            self.known.update(zip(some, encode_words(self.path, some), strict=True))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint32) for words in texts]
-
-
-_caches: dict[str, WordCache] = {}
+class TextEncoder:
+    """Encodes blocks of whole texts over a table of distinct words, each of which is encoded once.
 
+    The table is emptied between two blocks when it is full, so it holds a bounded part of any corpus.
+    """
 
-def word_cache(path: str) -> WordCache:
-    return _caches.setdefault(path, WordCache(path))
+    def __init__(self, path: str, known: int = KNOWN, known_bytes: int = KNOWN_BYTES) -> None:
+        self.encoder, self.known, self.known_bytes = encoder(path), known, known_bytes
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: defaultdict = defaultdict(count().__next__)
+        self.flat, self.sizes, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), 0
+
+    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
+        if len(self.number) > self.known or self.size > self.known_bytes:
+            self.clear()
+        split = [words_of(t) for t in texts]
+        get = self.number.__getitem__
+        before = len(self.number)
+        index = np.fromiter(map(get, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        new = list(islice(self.number, before, None))
+        if new:
+            self.size += sum(map(len, new))
+            ids, sizes = self.encoder.words(new)
+            self.flat, self.sizes = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes])
+        starts, sizes = _runs(self.sizes)
+        ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+        total = np.concatenate([[0], np.cumsum(sizes[index])])
+        return gathered(index, self.flat, starts, sizes), np.diff(total[ends], prepend=0)
 
 
 def _squeeze(numbers: np.ndarray) -> bytes:

@@ -1,18 +1,23 @@
 """Best-fit packing by exact complements, planned on the histogram of lengths.
 
 Pieces of one length are alike, so the plan works on counts: at most ``capacity`` different lengths,
-whatever the corpus holds. Longest first, it looks for combinations that fill the gap exactly: one
-length, a pair or a triple, found in indexes of length sums, and takes a combination as often as the
-availability counts allow. What no exact combination fills goes through best-fit decreasing on counts.
-Each step uses up a length or an open gap, so the plan has a few thousand steps. Pieces then take their
-places by their rank within their length: ranks come from counts by (partition, length), which are
-bounded by the partitions times the capacity and never by the pieces.
+whatever the corpus holds. Single, pair and triple sums of the lengths are indexed by their sum. For each
+length, longest first, the index is asked for combinations that fill the gap exactly, and each is consumed
+as often as the availability counts allow; what no exact combination fills goes through best-fit decreasing
+on counts. Exact triples and pairs can use up small pieces that large ones need later, so the plan is made
+with combinations of up to three, two and one, and the one with the fewest sequences holds. With singles
+alone it is as good as best-fit decreasing, so it never needs more sequences than that.
+
+Pieces then take their places by their rank within their length. A task numbers its own pieces of each
+length; where a task's numbers begin is a running sum over tasks, taken and joined back in Spark, so the
+driver and the broadcast plan hold a number per length and never one per task or piece.
 """
 
 from __future__ import annotations
 
 import zlib
 from bisect import bisect_right, insort
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,12 +26,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.window import Window
 
-from .bpe import word_cache, words_of
+from .bpe import TextEncoder
 from .common import cut, sliced, text_bytes
 
 CAPACITY = 2048
 END_ID = 0
+#: Bytes of text that a task encodes at once.
+BLOCK_BYTES = 4 << 20
 
 
 class Step(NamedTuple):
@@ -36,38 +45,73 @@ class Step(NamedTuple):
     times: int
 
 
-def _complement(gap: int, count: np.ndarray, used: tuple[int, ...]) -> tuple[int, ...] | None:
-    """Lengths that fill the gap exactly: one, a pair or a triple; the least lengths that are there most often."""
-    left = count.copy()
-    for x in used:
-        left[x] -= 1
-    if gap < len(left) and left[gap] > 0:
-        return (gap,)
-    there = np.flatnonzero(left[:gap] > 0)  # sorted
-    if not len(there):
+class Sums:
+    """Sums of one, two and three lengths below ``capacity``, each with its combinations, under availability counts.
+
+    A pair is listed under its sum by one member, a triple by one member and the sum of the other two; the most even
+    combination comes first, as uneven ones use up small pieces. A combination that has run out never comes
+    back, so each list is read from where its first ones have run out.
+    """
+
+    def __init__(self, count: np.ndarray) -> None:
+        self.count = count.tolist()
+        capacity = len(count) - 1
+        there = np.flatnonzero(count)
+        i, j = np.tril_indices(len(there))
+        self.pairs = _Index(there[i], there[i] + there[j], capacity)
+        sums = np.unique((there[i] + there[j])[there[i] + there[j] < capacity])
+        member, total = np.repeat(there, len(sums)), (there[:, None] + sums).ravel()
+        largest = 3 * member >= total  # a triple is listed under a member of at least a third, so each is found
+        self.triples = _Index(member[largest], total[largest], capacity)
+
+    def single(self, gap: int, used: tuple[int, ...]) -> tuple[int, ...] | None:
+        return (gap,) if self.count[gap] > used.count(gap) else None
+
+    def pair(self, gap: int, used: tuple[int, ...]) -> tuple[int, ...] | None:
+        count, index, first = self.count, self.pairs, True
+        for at in range(index.at[gap], index.end[gap]):
+            a = index.member[at]
+            b = gap - a
+            if not count[a] or not count[b] or (a == b and count[a] < 2):
+                if first:
+                    index.at[gap] = at + 1
+                continue
+            first = False
+            if count[a] - used.count(a) > (a == b) and count[b] > used.count(b):
+                return a, b
         return None
 
-    def pair(total: int, most: int) -> tuple[int, int] | None:
-        a = there[(there <= most) & (2 * there >= total) & (there < total)]
-        b = total - a
-        fits = (left[a] > 0) & (left[b] > 0) & ((a != b) | (left[a] > 1))
-        a = a[fits]
-        if not len(a):
-            return None
-        best = a[np.argmax(np.minimum(left[a], left[total - a]))]
-        return int(best), int(total - best)
-
-    if found := pair(gap, gap):
-        return found
-    for a in there[::-1]:
-        if 3 * a < gap:
-            break
-        left[a] -= 1
-        found = pair(gap - int(a), int(a)) if gap > a else None
-        left[a] += 1
-        if found:
-            return (int(a), *found)
-    return None
+    def triple(self, gap: int, used: tuple[int, ...]) -> tuple[int, ...] | None:
+        count, index, first = self.count, self.triples, True
+        for at in range(index.at[gap], index.end[gap]):
+            a = index.member[at]
+            if not count[a] or self.pairs.at[gap - a] == self.pairs.end[gap - a]:
+                if first:
+                    index.at[gap] = at + 1
+                continue
+            first = False
+            if count[a] > used.count(a) and (found := self.pair(gap - a, (*used, a))):
+                return a, *found
+        return None
+
+    def take(self, lengths: tuple[int, ...]) -> int:
+        """Consumes a combination as often as its lengths are there."""
+        times = min(self.count[x] // lengths.count(x) for x in set(lengths))
+        for x in lengths:
+            self.count[x] -= times
+        return times
+
+
+class _Index:
+    """Members by sum, from the least to the greatest; ``at`` and ``end`` bound a sum's list."""
+
+    def __init__(self, member: np.ndarray, total: np.ndarray, capacity: int) -> None:
+        below = total < capacity
+        member, total = member[below], total[below]
+        order = np.lexsort((member, total))
+        self.member = member[order].tolist()
+        ends = np.searchsorted(total[order], np.arange(capacity + 1), side="right").tolist()
+        self.at, self.end = [0, *ends[:-1]], ends
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Step]:
@@ -75,24 +119,33 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Step]:
     count = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         count[length] += n
-    steps: list[Step] = []
-    if count[capacity]:
-        steps.append(Step((capacity,), int(count[capacity])))
-        count[capacity] = 0
-    rest = np.zeros(capacity + 1, np.int64)
-    for length in range(capacity - 1, 0, -1):
-        while count[length]:
-            found = _complement(capacity - length, count, (length,))
-            if found is None:
-                rest[length] += count[length]
-                count[length] = 0
-                break
-            lengths = (length, *found)
-            times = min(int(count[x]) // lengths.count(x) for x in set(lengths))
-            for x in lengths:
-                count[x] -= times
-            steps.append(Step(lengths, times))
-    return steps + _best_fit(rest, capacity)
+    full = [Step((capacity,), int(count[capacity]))] if count[capacity] else []
+    count[capacity] = 0
+    lengths = np.arange(capacity + 1)
+    least = max(-(-int(count @ lengths) // capacity), int(count[2 * lengths > capacity].sum()))
+    best: list[Step] | None = None
+    for most in (3, 2, 1):
+        found = _complemented(count, capacity, most)
+        if best is None or _sequences(found) < _sequences(best):
+            best = found
+        if _sequences(best) == least:
+            break
+    return full + best
+
+
+def _sequences(steps: list[Step]) -> int:
+    return sum(s.times for s in steps)
+
+
+def _complemented(count: np.ndarray, capacity: int, most: int) -> list[Step]:
+    """Steps with exact complements of up to ``most`` pieces, and best fit for what is left."""
+    sums, steps = Sums(count), []
+    for find in (sums.single, sums.pair, sums.triple)[:most]:
+        for length in range(capacity - 1, 0, -1):
+            while sums.count[length] and (found := find(capacity - length, (length,))):
+                lengths = (length, *found)
+                steps.append(Step(lengths, sums.take(lengths)))
+    return steps + _best_fit(np.array(sums.count, np.int64), capacity)
 
 
 def _best_fit(count: np.ndarray, capacity: int) -> list[Step]:
@@ -166,52 +219,69 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     """doc_id, piece, start, length, ids_crc32 of each text's pieces of at most ``capacity`` tokens."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, end = word_cache(tokenizer_path), np.array([END_ID], "<u4")
-        for batch in sliced(batches, 1 << 20):
-            out: list[list] = [[], [], [], [], []]
-            texts = [words_of(t) for t in batch.column("text").to_pylist()]
-            for doc_id, found in zip(batch.column("doc_id").to_pylist(), cache.ids(texts), strict=True):
-                ids = np.concatenate([found.astype("<u4"), end])
-                for k, start in enumerate(range(0, len(ids), capacity)):
-                    own = ids[start : start + capacity]
-                    for column, value in zip(out, (doc_id, k, start, len(own), zlib.crc32(own.tobytes())), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder = TextEncoder(tokenizer_path)  # an idle worker holds no words
+        for batch in sliced(batches, BLOCK_BYTES):
+            ids, n = encoder.ids(batch.column("text").to_pylist())
+            # Each text's ids, then the end.
+            ends = np.cumsum(n + 1)
+            ids, n = np.insert(ids, ends - np.arange(len(n)) - 1, np.uint32(END_ID)), n + 1
+            pieces = -(-n // capacity)
+            piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(np.repeat(n, pieces) - start, capacity)
+            at = 4 * (np.repeat(ends - n, pieces) + start)
+            data = memoryview(ids.astype("<u4").tobytes())
+            crc = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+            doc = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(n)), pieces)))
+            yield pa.RecordBatch.from_arrays([doc, pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
+def _within(length: np.ndarray, seen: dict[int, int]) -> np.ndarray:
+    """The rank of each row among the rows of its length, after those in ``seen``."""
+    order = np.argsort(length, kind="stable")
+    edges = np.flatnonzero(np.diff(length[order], prepend=-1, append=-1))
+    rank = np.zeros(len(length), np.int64)
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        x = int(length[order[a]])
+        rank[order[a:b]] = seen[x] + np.arange(b - a)
+        seen[x] += int(b - a)
+    return rank
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (any rows with a ``length`` from 1 to ``capacity``) with sequence_id and offset."""
-    # Ranks must hold still between the two passes: the rows are written once and read twice.
-    pieces = cut(pieces)
-    counted = pieces.groupBy(F.spark_partition_id().alias("part"), "length").count().collect()  # partitions x capacity rows at most
-    before: dict[int, dict[int, int]] = {}
-    total: dict[int, int] = {}
-    for part, length, n in sorted(counted):
-        before.setdefault(part, {})[length] = total.get(length, 0)
-        total[length] = total.get(length, 0) + n
-    spark = pieces.sparkSession
-    shared = spark.sparkContext.broadcast((before, Places(plan(total, capacity))))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), defaultdict(int)
+        for batch in batches:
+            rank = _within(batch.column("length").to_numpy(), seen)
+            yield batch.append_column("__part", pa.array(np.full(len(rank), part, np.int32))).append_column("__rank", pa.array(rank))
+
+    own = StructType([*pieces.schema, StructField("__part", IntegerType()), StructField("__rank", LongType())])
+    # Ranks must hold still from here on: the rows are written once, with their ranks.
+    ranked = cut(pieces.mapInArrow(numbered, own))
+    counted = ranked.groupBy("length", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counted.select("length", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    total = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
+    shared = ranked.sparkSession.sparkContext.broadcast(Places(plan(total, capacity)))  # a few numbers per length
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, places = shared.value
-        seen = dict(first.get(TaskContext.get().partitionId(), {}))
+        places = shared.value
         for batch in batches:
-            length = batch.column("length").to_numpy()
+            length, rank = batch.column("length").to_numpy(), batch.column("__at").to_numpy()
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             order = np.argsort(length, kind="stable")
             edges = np.flatnonzero(np.diff(length[order], prepend=-1, append=-1))
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                x = int(length[order[a]])
-                sequence[order[a:b]], offset[order[a:b]] = places(x, seen[x] + np.arange(b - a))
-                seen[x] += b - a
-            yield batch.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
-
-    from pyspark.sql.types import LongType, StructType
+                at = order[a:b]
+                sequence[at], offset[at] = places(int(length[at[0]]), rank[at])
+            yield batch.drop_columns(["__at"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    schema = StructType([*pieces.schema])
-    return pieces.mapInArrow(place, schema.add("sequence_id", LongType()).add("offset", LongType()))
+    placed = ranked.join(first, ["length", "__part"]).select(*pieces.columns, (F.col("__first") + F.col("__rank")).alias("__at"))
+    return placed.mapInArrow(place, StructType([*pieces.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 
 def best_fit_pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
