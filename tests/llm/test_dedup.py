@@ -1,10 +1,14 @@
+import hashlib
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from veilspark.llm import exact_dedup as exact_dedup_module
+from veilspark.llm import simhash
 from veilspark.llm.exact_dedup import drop_copies, exact_dedup
 from veilspark.llm.simhash import components, drop_near_copies, fingerprint, links, simhash_components
 
@@ -138,3 +142,49 @@ def test_near_copies_go_at_four_fifths_of_their_shingles_and_not_below(spark):
     assert gone == set(range(3, 120, 4))
     found = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id for r in found.collect()} == set(range(120)) - gone
+
+
+def brute_near(rows):
+    """rows: (id, text); places of those that stay: of each group linked by shingle similarity, the least id, null last, then the text's digest."""
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else frozenset() for w in words]
+    alike = lambda a, b: (not a and not b) or (a and b and len(a & b) >= 0.8 * len(a | b) - 1e-9)
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if alike(sets[i], sets[j]):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    order = lambda i: (rows[i][0] is None, rows[i][0] or 0, hashlib.md5((rows[i][1] or "").encode()).hexdigest())
+    best = {}
+    for i in range(len(rows)):
+        best[group[i]] = min(order(i), best.get(group[i], order(i)))
+    return [i for i in range(len(rows)) if order(i) == best[group[i]]]
+
+
+def test_near_copies_with_repeated_and_null_ids_and_clashing_columns(spark):
+    base = [f"w{i}" for i in range(100)]
+    near, third = " ".join([*base[:-1], "other"]), " ".join([*base[:-1], "third"])
+    rows = [(7, " ".join(base)), (7, near), (7, "all alone here"), (8, "all alone here by itself now and then"), (None, third), (None, "a row without an id"), (9, None), (10, " "), (11, ""), (6, "one"), (12, "ONE")]
+    extra = ["__gone", "__name", "name", "node", "root", "keys", "group", "fp"]
+    frame = spark.createDataFrame([(*r, *["x"] * len(extra)) for r in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in extra))
+    found = drop_near_copies(frame)
+    assert found.columns == frame.columns
+    assert Counter((r.doc_id, r.text) for r in found.collect()) == Counter(rows[i] for i in brute_near(rows))
+    assert (8, "all alone here by itself now and then") in {(r.doc_id, r.text) for r in found.collect()}
+
+
+def test_the_fingerprint_index_proposes_close_sets(spark):
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "x"])), (3, "y")]
+    named = simhash._named(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    nodes = {r.doc_id: r.node for r in simhash._signatures(named).collect()}
+    unbanded = simhash._signatures(named).withColumn("keys", F.array(F.col("node")))  # no two sets share a band
+    assert {r.node for r in simhash._proposed(unbanded).collect()} == {nodes[1], nodes[2]}
+
+
+def test_the_proof_of_one_content_stands_in_every_plan(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    hot = exact_dedup_module.hot_digests(rows, digest=lambda _: b"x")
+    won = exact_dedup_module.winners(rows, hot, digest=lambda _: b"x")
+    assert "raise_error" in won.select("digest", "other", "keep_id")._jdf.queryExecution().optimizedPlan().toString()

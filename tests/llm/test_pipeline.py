@@ -7,7 +7,7 @@ from veilspark.llm.secrets import redact, scan_text
 from veilspark.llm.toxicity import Scorer, train, training_rows
 
 from .conftest import ascii_lower
-from .test_dedup import brute_components, brute_fingerprint
+from .test_dedup import brute_near
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -31,8 +31,8 @@ def test_each_stage_against_brute_force(spark, tmp_path):
     for i, r in kept[0].items():
         last[ascii_lower(r.text)] = max(i, last.get(ascii_lower(r.text), i))
     assert set(kept[1]) == set(last.values())
-    near = brute_components([(i, brute_fingerprint(r.text)) for i, r in kept[1].items()])
-    assert set(kept[2]) == {least for _, _, least in near}
+    unique = [(i, r.text) for i, r in kept[1].items()]
+    assert set(kept[2]) == {unique[i][0] for i in brute_near(unique)}
     for i, r in kept[3].items():
         before = kept[2][i]
         spans = scan_text(before.text)

@@ -21,9 +21,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all nodes share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all nodes share: spark.checkpoint.dir. Where it is unset a single machine gets one of its own; a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         found = "file://" + tempfile.mkdtemp(prefix="veilspark-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

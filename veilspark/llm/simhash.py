@@ -33,11 +33,11 @@ SEED = 42
 REFINE = 4096
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text's word shingles, repeats included; without words zero."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle in a row, repeats included; of fewer words the whole sequence, without words nothing."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     # In the space-joined words a shingle is a slice.
     joined = b" ".join(words)
@@ -45,7 +45,12 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     ends = ends[min(shingle, len(words)) - 1 :].tolist()
     h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, n)
+    return np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash: a bit is set if over half the hashes have it."""
+    n = len(hashes)
     total = np.zeros(64, np.int64)
     for i in range(0, n, 8192):
         bits = np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -53,6 +58,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The SimHash of a text's word shingles, repeats included; without words zero."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every row."""
 
@@ -207,14 +217,6 @@ _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.ui
 SMALL = 1 << 18
 
 
-def shingles(text: bytes, shingle: int = NEAR_SHINGLE) -> np.ndarray:
-    """The sorted distinct hashes of a text's word shingles; a shorter text is one shingle, one without words has none."""
-    words = text.lower().split()
-    h = xxhash.xxh64_intdigest
-    found = {h(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))} if words else ()
-    return np.sort(np.fromiter(found, np.uint64, len(found)))
-
-
 def bands(codes: np.ndarray) -> np.ndarray:
     """The MinHash band keys of a set of hashes."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
@@ -227,17 +229,39 @@ def bands(codes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, node (the hash of the shingle set), keys (its bands) and codes (the set) of every row."""
+def _node(codes: np.ndarray) -> int:
+    """The name of a shingle set, given as sorted distinct hashes; that of the empty one is zero."""
+    return xxhash.xxh64_intdigest(codes.tobytes(), SEED) if len(codes) else 0
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text as bytes, and name, a digest of the text, which tells rows of one id apart."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).withColumn("name", F.md5("text"))
+
+
+def _signatures(named: DataFrame) -> DataFrame:
+    """doc_id, name, node (the name of the shingle set), fp (the fingerprint) and keys (the bands) of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 2 << 20):
-            codes = [shingles(t) for t in batch.column("text").to_pylist()]
-            nodes = [xxhash.xxh64_intdigest(c.tobytes(), SEED) if len(c) else 0 for c in codes]
-            columns = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array([bands(c) if len(c) else [] for c in codes], pa.list_(pa.int64())), pa.array([c.tobytes() for c in codes], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "node", "keys", "codes"])
+            hashes = [shingle_hashes(t, NEAR_SHINGLE) for t in batch.column("text").to_pylist()]
+            codes = [np.unique(h) for h in hashes]
+            nodes, fps = (np.array(x, np.uint64).view(np.int64) for x in ([_node(c) for c in codes], [majority(h) for h in hashes]))
+            keys = pa.array([bands(c) if len(c) else [] for c in codes], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("name"), pa.array(nodes), pa.array(fps), keys], ["doc_id", "name", "node", "fp", "keys"])
+
+    return named.mapInArrow(rows, "doc_id long, name string, node long, fp long, keys array<long>")
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(rows, "doc_id long, node long, keys array<long>, codes binary")
+
+def _sets(named: DataFrame) -> DataFrame:
+    """node and codes (the shingle set) of every row."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 2 << 20):
+            codes = [np.unique(shingle_hashes(t, NEAR_SHINGLE)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([_node(c) for c in codes], np.uint64).view(np.int64)), pa.array([c.tobytes() for c in codes], pa.binary())], ["node", "codes"])
+
+    return named.mapInArrow(rows, "node long, codes binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -307,27 +331,46 @@ def _small(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= SMALL else frame
 
 
-def similar_links(rows: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes of ``_sets``: enough to connect all with a similarity of ``SIMILAR``, each verified on the whole sets."""
+def _proposed(rows: DataFrame) -> DataFrame:
+    """group, node: sets that may be similar stand in one group.
+
+    The fingerprints' one-wildcard index proposes those within ``BITS`` bits. As similarity 0.8 goes with up to 17
+    and more of 64 bits, too far for any segments that select, MinHash bands propose the others.
+    """
+    fps = rows.where(F.size("keys") > 0).select("fp", "node").distinct()
+    near = links(fps.select("fp").distinct()).select(F.xxhash64("a", "b").alias("group"), F.explode(F.array("a", "b")).alias("fp"))
+    equal = fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64("fp").alias("group"), "fp")
+    linked = near.unionByName(equal).join(fps, "fp").select("group", "node")
     keyed = rows.select(F.explode("keys").alias("key"), "node")
-    groups = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_groups, "group long, node long").distinct())
-    sets = rows.select("node", "codes").join(_small(groups.select("node").distinct()), "node").dropDuplicates(["node"])
+    banded = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_groups, "group long, node long")
+    return cut(linked.unionByName(banded).distinct())
+
+
+def similar_links(named: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes: enough to connect all with a similarity of ``SIMILAR``, each verified on the whole sets."""
+    groups = _proposed(rows)
+    # Only proposed sets are made again from their texts.
+    wanted = _small(rows.join(_small(groups.select("node").distinct()), "node").groupBy("node").agg(F.min("name").alias("name")).select("name"))
+    sets = _sets(named.join(wanted, "name", "left_semi")).dropDuplicates(["node"])
     return groups.join(sets, "node").select("group", "node", "codes").repartition("group").sortWithinPartitions("group").mapInArrow(_similar, "a long, b long").distinct()
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their component, with all their columns: one document of each group.
+    """One document of each group of near copies: the row with the least id, with all its columns.
 
-    Texts link if their distinct five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints of
-    64 bits cannot find these (such texts differ in up to 17 bits and more), so MinHash bands propose them and
-    whole shingle sets decide. Texts without words are copies of each other.
-    Ids are taken to name one row, as after exact deduplication; rows with a null id stay.
+    Texts link if their distinct five-word shingles have a Jaccard similarity of 0.8 or more, which is decided on
+    whole sets; groups are what links connect. Texts without words are copies of each other. Null ids come after
+    all others. Rows that share an id are told apart by their texts; rows that share both are one document here,
+    which stays or goes whole (exact deduplication leaves one of them).
     """
-    rows = cut(_sets(docs, id_col, text_col))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
-    roots = components(similar_links(rows))
+    named = _named(docs, id_col, text_col)
+    rows = cut(_signatures(named))
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "name")
+    nodes = rows.groupBy("node").agg(F.min(order).alias("least"))
+    roots = components(similar_links(named, rows))
     placed = cut(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
-    ids = placed.groupBy("root").agg(F.min("least").alias("first"))
-    named = placed.join(ids, "root").select("node", "first")
-    gone = _small(rows.select("doc_id", "node").join(named, "node").where("doc_id > first").select(F.col("doc_id").alias("__gone")))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    # Only nodes with several rows or links can lose a row.
+    first = placed.groupBy("root").agg(F.min("least").alias("first"))
+    copies = rows.join(placed.select("node", "root"), "node").join(first, "root").where(~order.eqNullSafe(F.col("first")))
+    gone = _small(copies.select(F.col("doc_id").alias("__gone"), F.col("name").alias("__name")).distinct())
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__gone"]) & (F.md5(text_bytes(text_col)) == gone["__name"]), "left_anti")
