@@ -26,7 +26,7 @@ def test_each_stage_against_brute_force(spark, tmp_path):
         kept.append({r.doc_id: r for r in docs.collect()} if i < 4 else docs.collect())
     start = {r.doc_id: r for r in read_table(spark, FOLDER, "documents").collect()}
     model = Scorer(train(*training_rows(read_table(spark, FOLDER, "documents"), read_table(spark, FOLDER, "labels"))))
-    assert set(kept[0]) == {i for i, r in start.items() if model.score(r.text.encode()) < 0.7}
+    assert set(kept[0]) == {i for i, r in start.items() if model.scores([r.text.encode()])[0] < 0.7}
     last = {}
     for i, r in kept[0].items():
         last[ascii_lower(r.text)] = max(i, last.get(ascii_lower(r.text), i))
