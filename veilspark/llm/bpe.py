@@ -227,7 +227,7 @@ def pieces(path: str) -> list[str]:
 
 
 #: Words that a worker knows before it starts anew, and the bytes of their text.
-KNOWN, KNOWN_BYTES = 300_000, 16 << 20
+KNOWN, KNOWN_BYTES = 150_000, 8 << 20
 
 
 class TextEncoder:

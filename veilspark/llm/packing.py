@@ -35,7 +35,9 @@ from .common import cut, sliced, text_bytes
 CAPACITY = 2048
 END_ID = 0
 #: Bytes of text that a task encodes at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Where a piece stands for the plan: its task, and its rank among the task's pieces of its length.
+RANKED = [StructField("__part", IntegerType()), StructField("__rank", LongType())]
 
 
 class Step(NamedTuple):
@@ -215,8 +217,12 @@ class Places:
         return seq[i] + within // each[i], offsets[at[i] + within % each[i]]
 
 
-def pieces_of(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each text's pieces of at most ``capacity`` tokens."""
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
+def pieces_of(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, ranked: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of each text's pieces of at most ``capacity`` tokens; with ``ranked`` also
+    their ranks, taken by the same worker."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TextEncoder(tokenizer_path)  # an idle worker holds no words
@@ -235,7 +241,10 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
             doc = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(n)), pieces)))
             yield pa.RecordBatch.from_arrays([doc, pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
+    if not ranked:
+        return texts.mapInArrow(rows, PIECES)
+    return texts.mapInArrow(lambda batches: _numbered(rows(batches)), StructType([*StructType.fromDDL(PIECES), *RANKED]))
 
 
 def _within(length: np.ndarray, seen: dict[int, int]) -> np.ndarray:
@@ -250,18 +259,22 @@ def _within(length: np.ndarray, seen: dict[int, int]) -> np.ndarray:
     return rank
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (any rows with a ``length`` from 1 to ``capacity``) with sequence_id and offset."""
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a length, and their ``RANKED``."""
+    part, seen = TaskContext.get().partitionId(), defaultdict(int)
+    for batch in batches:
+        rank = _within(batch.column("length").to_numpy(), seen)
+        yield batch.append_column("__part", pa.array(np.full(len(rank), part, np.int32))).append_column("__rank", pa.array(rank))
 
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), defaultdict(int)
-        for batch in batches:
-            rank = _within(batch.column("length").to_numpy(), seen)
-            yield batch.append_column("__part", pa.array(np.full(len(rank), part, np.int32))).append_column("__rank", pa.array(rank))
 
-    own = StructType([*pieces.schema, StructField("__part", IntegerType()), StructField("__rank", LongType())])
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``pieces`` (any rows with a ``length`` from 1 to ``capacity``, ranked or not) with sequence_id and offset."""
+    if "__rank" in pieces.columns:
+        ranked, pieces = pieces, pieces.drop("__part", "__rank")
+    else:
+        ranked = pieces.mapInArrow(_numbered, StructType([*pieces.schema, *RANKED]))
     # Ranks must hold still from here on: the rows are written once, with their ranks.
-    ranked = cut(pieces.mapInArrow(numbered, own))
+    ranked = cut(ranked)
     counted = ranked.groupBy("length", "__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     first = counted.select("length", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
@@ -291,4 +304,4 @@ def best_fit_pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     than ``capacity`` tokens are cut. Ids may be null or repeat, each row is packed by itself; an empty
     table gives no rows; other columns are not read.
     """
-    return pack(pieces_of(docs, tokenizer_path, id_col, text_col, capacity), capacity)
+    return pack(pieces_of(docs, tokenizer_path, id_col, text_col, capacity, ranked=True), capacity)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sliced, text_bytes
+from .common import cut, hot_keys, salted, sliced, spread, text_bytes
 
 BITS = 3
 SHINGLE = 3
@@ -204,7 +204,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = cut(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # A fingerprint that many rows share, as that of empty texts, is dealt over salts.
+    hot = hot_keys(rows, ["fp"])
+    return salted(rows, ["fp"], hot, "doc_id").drop("hot").join(spread(named, ["fp"], hot), ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: The near-dedup stage: words of a shingle, least Jaccard similarity of two texts' distinct shingles.

@@ -140,6 +140,6 @@ def top_k(vectors: DataFrame, k: int = K, each: int = EACH, id_col: str = "vec_i
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], ["query_id", "neighbor_id", "distance"])
 
-    winners = index.union(queries).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(search, "query_id long, neighbor_id long, distance int")
+    winners = index.union(queries).repartition(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(search, "query_id long, neighbor_id long, distance int")
     nearest = winners.groupBy("query_id", "neighbor_id").agg(F.min("distance").alias("distance"))  # an id may have several codes
     return nearest.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
