@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from veilspark import Detector, Limits, Options, Refused, create_profile, default_token, redact_text, regex_detector
+from veilspark import Detector, Limits, Options, Refused, built_in_detectors, create_profile, default_token, redact_text, regex_detector
 from veilspark.functions.labels import is_safe_label, safe_label
 from veilspark.functions.redact import built_in_spans, redact, units
 from veilspark.operators.text import result_row
@@ -83,6 +83,16 @@ def test_profiles():
         assert refused.value.code == "invalid_redaction_profile"
 
 
+def test_built_in_detectors_stand_for_themselves():
+    own = built_in_detectors()
+    assert [(d.id, d.reasons) for d in own] == [(f"builtin:{n}", (n,)) for n in ("email", "bearer_token", "api_key", "url")]
+    for text in [*random_texts(300, 5), "\U0001f600 u@example.invalid " + KEY]:
+        (a, r1, e1), (b, r2, e2) = one(text), one(text, built_ins=(), detectors=own)
+        assert a == b and r1.counts == r2.counts and (e1 and e1.code) == (e2 and e2.code)
+    with pytest.raises(Refused):
+        built_in_detectors(["no"])
+
+
 def test_tokens():
     assert default_token("email") == "[REDACTED:email]" and default_token("custom:a-b") == "[REDACTED:custom:a-b]" and default_token("x y") == "[REDACTED:custom]"
 

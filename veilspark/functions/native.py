@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..codes import ERROR, ERRORS, REPORT, WARNING
-from ..options import Options, default_token
+from ..options import Options, built_in_id, default_token
 from .patterns import JVM, NEEDS
 
 #: Detectors whose first group can hold something.
@@ -99,7 +99,7 @@ def redact_column(frame: DataFrame, column: str, out: str, options: Options) ->
     over = F.lit(None).cast("string")
     if most is not None:
         for i in reversed(range(len(known))):
-            over = F.when(sum((F.size(f) for f in found[: i + 1]), F.lit(0)) > most, known[i]).otherwise(over)
+            over = F.when(sum((F.size(f) for f in found[: i + 1]), F.lit(0)) > most, built_in_id(known[i])).otherwise(over)
     frame = frame.withColumns({f"{out}__over": over, f"{out}__all": F.array_sort(F.concat(*found)) if found else F.array().cast(f"array<{_SPAN}>")})
 
     given = options.replacement if isinstance(options.replacement, Mapping) else {n: default_token(n) for n in known}
@@ -149,7 +149,7 @@ def redact_column(frame: DataFrame, column: str, out: str, options: Options) ->
     runs = F.when(F.col(guard).isNotNull(), 0)
     if most is not None:
         for i, n in enumerate(known):
-            runs = runs.when(F.col(f"{out}__over") == n, i + 1)
+            runs = runs.when(F.col(f"{out}__over") == built_in_id(n), i + 1)
     runs = runs.otherwise(len(known))
     counts = F.filter(F.array(*[F.struct(F.lit(n).alias("key"), c.cast("long").alias("value")) for n, c in each.items()]), lambda c: c["value"] > 0) if known else F.array().cast("array<struct<key:string,value:bigint>>")
     report = F.struct(

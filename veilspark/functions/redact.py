@@ -12,7 +12,7 @@ from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from ..options import Detector, Found, Options, Refused, is_safe_reason
+from ..options import BUILT_IN, Detector, Found, Options, Refused, built_in_id, is_safe_reason
 from .patterns import ANY, EMAIL_NEXT, PYTHON
 
 
@@ -104,6 +104,22 @@ def built_in_spans(name: str, text: str) -> list[tuple[int, int]]:
     return found
 
 
+def built_in_detectors(names: Iterable[str] = BUILT_IN) -> tuple[Detector, ...]:
+    """The built-in detectors as detectors of their own, for policies that name their order or part of them."""
+
+    def made(name: str) -> Detector:
+        def scan(text: str) -> list[Found]:
+            places = _utf16_places(text)
+            return [(name, places(a), places(b)) for a, b in built_in_spans(name, text)]
+
+        return Detector(built_in_id(name), (name,), scan)
+
+    names = tuple(names)
+    if any(n not in BUILT_IN for n in names):
+        raise Refused("invalid_redaction_options", message="Redaction options included an unknown built-in detector.")
+    return tuple(made(n) for n in names)
+
+
 def _custom_spans(detector: Detector, text: str, most: float) -> list[tuple[str, int, int]]:
     """A custom detector's spans in code points, each checked."""
     try:
@@ -180,14 +196,14 @@ def redact(text: object, options: Options, deadline: float | None = None) -> tup
                 if isinstance(detector, str):
                     found = [] if plain else [(detector, *s) for s in built_in_spans(detector, text)]
                     if len(found) > most - len(spans):
-                        raise Refused("max_total_detections_exceeded", detector)
+                        raise Refused("max_total_detections_exceeded", built_in_id(detector))
                 else:
                     found = _custom_spans(detector, text, most - len(spans))
             finally:
                 took = (time.monotonic() - started) * 1000
                 report.detector_duration_ms += took
             if options.limits.max_detector_duration_ms is not None and took > options.limits.max_detector_duration_ms:
-                raise Refused("detector_timeout", detector if isinstance(detector, str) else detector.id)
+                raise Refused("detector_timeout", built_in_id(detector) if isinstance(detector, str) else detector.id)
             _in_time(deadline)
             spans += found
         parts, at = [], 0

@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 
 def cumulative_budget(frame: DataFrame, keys: list[str], order: list[str], usage: dict[str, str], limits: dict[str, float], out: str = "budget_error") -> DataFrame:
     """Adds ``out``: the code of the first budget that a row's group goes beyond, or null; and ``budget_row``:
-    whether the row is the first that does. A group that fails, fails whole.
+    whether the row stands at the first place that does (rows that tie on the order columns share a place).
+    A group that fails, fails whole.
 
     ``usage`` maps limits to numeric columns. Totals are sums by group, which combine before the exchange;
     only groups that go beyond a limit are put in order to find the row.

@@ -8,44 +8,50 @@ from pyspark.sql import functions as F
 from ..codes import REPORT
 
 
+_TIMINGS = ("duration_ms", "detector_duration_ms", "detector_runs", "nodes_visited", "string_code_units")
+_WARNING = ("code", "detector_id", "reason", "path")
+
+
 def merge_reports(frame: DataFrame, keys: list[str], report: str = "report") -> DataFrame:
-    """One row per group: status, total_redactions, counts_by_reason, warning_counts and summed timings.
+    """One row per group: status, total_redactions, counts_by_reason, warnings, warning_counts and summed timings.
 
-    A failed row makes the group failed. Everything is a sum, so partial aggregation runs before the
-    exchange and a large group costs one row per task; warnings come as counts by code for that reason.
+    A failed row makes the group failed. ``warnings`` has each different warning (code, detector, reason, path) once
+    with its number ``n``, ``warning_counts`` the numbers by code. Everything is a sum over reasons and warnings,
+    which combine before the exchange, so a large group costs a few rows per task; the input is read once.
     """
     r = F.col(report)
-    rows = frame.where(r.isNotNull())
-    timing = lambda n: F.sum(F.when(r["timings"][n] >= 0, r["timings"][n])).alias(n)
-    sums = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_reports"),
+    none = F.lit(None).cast("string")
+    reasons = F.transform(F.map_entries(r["counts_by_reason"]), lambda e: F.struct(F.lit("reason").alias("kind"), e["key"].alias("code"), none.alias("detector_id"), none.alias("reason"), none.alias("path"), e["value"].alias("n")))
+    warnings = F.transform(r["warnings"], lambda w: F.struct(F.lit("warning").alias("kind"), *[w[f].alias(f) for f in _WARNING], F.lit(1).cast("long").alias("n")))
+    found = F.concat(F.coalesce(reasons, F.array()), F.coalesce(warnings, F.array()))
+    rows = frame.where(r.isNotNull()).select(*keys, r.alias("__r"), F.posexplode_outer(found).alias("__at", "__x"))
+    # What a report has once counts at its first reason or warning.
+    first = F.coalesce(F.col("__at"), F.lit(0)) == 0
+    once = lambda value: F.sum(F.when(first, value))
+    r = F.col("__r")
+    timed = {n: once(F.when(r["timings"][n] >= 0, r["timings"][n])) for n in _TIMINGS}
+    entry = F.struct(*[F.col(f"__x.{f}").alias(f) for f in ("kind", *_WARNING)])
+    partial = rows.groupBy(*keys, entry.alias("__e")).agg(
+        F.sum("__x.n").alias("n"),
+        F.sum(F.when(first, 1).otherwise(0)).alias("n_reports"),
         F.max((r["status"] == "failed").cast("int")).alias("failed"),
-        F.sum(r["total_redactions"]).alias("total_redactions"),
-        *(timing(n) for n in ("duration_ms", "detector_duration_ms", "detector_runs", "nodes_visited", "string_code_units")),
-    )
-    found = F.concat(
-        F.transform(F.map_entries(r["counts_by_reason"]), lambda e: F.struct(F.lit("reason").alias("kind"), e["key"].alias("name"), e["value"].alias("n"))),
-        F.transform(r["warnings"], lambda w: F.struct(F.lit("warning").alias("kind"), w["code"].alias("name"), F.lit(1).cast("long").alias("n"))),
+        once(r["total_redactions"]).alias("total_redactions"),
+        *(c.alias(n) for n, c in timed.items()),
     )
-    # Names are few: declared reasons and a closed list of codes.
-    named = rows.select(*keys, F.explode(found).alias("x")).groupBy(*keys, "x.kind", "x.name").agg(F.sum("x.n").alias("n"))
-    entries = lambda kind: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("name", "n")))))
-    maps = named.groupBy(*keys).agg(entries("reason").alias("counts_by_reason"), entries("warning").alias("warning_counts"))
-    on = [F.col(f"s.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
-    joined = sums.alias("s").join(maps.alias("m"), on, "left") if keys else sums.alias("s").join(F.broadcast(maps.alias("m")), how="left")
-    empty = F.create_map().cast("map<string,bigint>")
-    return joined.select(
-        *(F.col(f"s.{k}") for k in keys),
+    listed = F.array_sort(F.collect_list(F.when(F.col("__e.kind").isNotNull(), F.struct(*[F.col(f"__e.{f}").alias(f) for f in ("kind", *_WARNING)], "n"))))
+    sums = partial.groupBy(*keys).agg(F.sum("n_reports").alias("n_reports"), F.max("failed").alias("failed"), F.sum("total_redactions").alias("total_redactions"), *(F.sum(n).alias(n) for n in _TIMINGS), listed.alias("__all"))
+    of = lambda kind: F.filter("__all", lambda x: x["kind"] == kind)
+    codes = F.array_distinct(F.transform(of("warning"), lambda x: x["code"]))
+    each = lambda code: F.aggregate(F.filter(of("warning"), lambda x: x["code"] == code), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return sums.select(
+        *keys,
         "n_reports",
         F.when(F.col("failed") == 1, "failed").when(F.col("total_redactions") > 0, "redacted").otherwise("unchanged").alias("status"),
         "total_redactions",
-        F.coalesce("counts_by_reason", empty).alias("counts_by_reason"),
-        F.coalesce("warning_counts", empty).alias("warning_counts"),
-        "duration_ms",
-        "detector_duration_ms",
-        "detector_runs",
-        "nodes_visited",
-        "string_code_units",
+        F.map_from_entries(F.transform(of("reason"), lambda x: F.struct(x["code"], x["n"]))).alias("counts_by_reason"),
+        F.transform(of("warning"), lambda x: F.struct(*[x[f].alias(f) for f in (*_WARNING, "n")])).alias("warnings"),
+        F.map_from_entries(F.transform(codes, lambda c: F.struct(c, each(c)))).alias("warning_counts"),
+        *_TIMINGS,
     )
 
 

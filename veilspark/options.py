@@ -28,6 +28,11 @@ DEFAULTS = {
 }
 
 
+def built_in_id(name: str) -> str:
+    """The id under which a built-in detector is named in reports and errors."""
+    return f"builtin:{name}"
+
+
 class Refused(Exception):
     """A coded failure. It never carries content."""
 

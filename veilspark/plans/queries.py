@@ -18,7 +18,8 @@ from ..operators.reports import evaluate_budgets, merge_reports, merged, nearest
 from ..operators.structured import omit_stream_events, redact_calls, redact_json, redact_payloads, redact_struct
 from ..operators.telemetry import map_telemetry, report_context
 from ..operators.text import redact_text
-from ..options import Limits, Options, create_profile
+from ..operators.tooling import commit_drift, compare_versions, contract_changed, inventory_sha256, output_path, performance_result
+from ..options import Detector, Limits, Options, create_profile
 from ..sources.tables import read_table
 from ..streaming.machines import flush_index
 from ..streaming.redact import redact_stored_streams
@@ -155,6 +156,15 @@ def q_report_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(read_table(spark, sf_dir, "documents"), "lang", WHOLE)
 
 
+@query("SELECT c_nationkey, count(*) AS n_reports, 'builtin:email' AS detector_id, count(*) FILTER (c_custkey % 2 = 0) AS over, count(*) FILTER (c_custkey % 2 = 1) AS overlaps FROM customer GROUP BY 1")
+def q_report_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _made(spark, sf_dir, F.when(F.col("c_custkey") % 2 == 0, "a@b.cd e@f.gh i@j.kl").otherwise("Bearer tok" + "en_example")).join(read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    done = merge_reports(redact_text(rows, "text", policy=Options(limits=Limits(max_total_detections=2))).select("c_nationkey", F.col("redacted.report").alias("report")), ["c_nationkey"])
+    n = lambda w: F.coalesce(F.aggregate(F.filter("warnings", w), F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0))
+    over = n(lambda w: (w["code"] == "max_total_detections_exceeded") & (w["detector_id"] == "builtin:email"))
+    return done.select("c_nationkey", "n_reports", F.lit("builtin:email").alias("detector_id"), over.alias("over"), n(lambda w: (w["code"] == "overlapping_detection") & (w["reason"] == "api_key")).alias("overlaps"))
+
+
 @query(_report_sql("conversations", "role"))
 def q_report_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(read_table(spark, sf_dir, "conversations"), "role")
@@ -389,6 +399,93 @@ def q_budget_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate_budgets(budgets, results, metrics=("median_ms",)).select("name", "verdict")
 
 
+_HEX = "md5(c_custkey::VARCHAR) || substr(md5(c_custkey::VARCHAR), 1, 8)"
+
+
+def _hex(key: Column) -> Column:
+    return F.concat(F.md5(key.cast("string")), F.substring(F.md5(key.cast("string")), 1, 8))
+
+
+@query(f"SELECT c_custkey, 'veilspark/performance-result/v1' AS schema_version, '2026-07-18T00:00:00.000Z' AS generated_at, CASE WHEN c_custkey % 3 <> 0 THEN {_HEX} END AS commit, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey::VARCHAR END AS run_id, CASE WHEN c_custkey % 5 > 1 THEN c_custkey % 5 END AS attempt FROM customer")
+def q_performance_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, key = read_table(spark, sf_dir, "customer").select("c_custkey"), F.col("c_custkey")
+    commit = F.when(key % 3 == 0, F.lit("main")).otherwise(F.upper(_hex(key)))
+    run = F.when(key % 4 == 0, F.concat(F.lit("0"), key.cast("string"))).otherwise(key.cast("string"))
+    attempt = F.when(key % 5 == 1, "9" * 16).otherwise((key % 5).cast("string"))
+    done = performance_result(rows, F.lit("2026-07-18 00:00:00").cast("timestamp"), commit, run, attempt)
+    return done.select("c_custkey", "schema_version", "generated_at", "source.commit", "source.run_id", F.col("source.run_attempt").alias("attempt"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'artifacts/a' || c_custkey || '.json' WHEN 1 THEN 'artifacts/c.JSON' END AS path FROM customer")
+def q_output_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    cases = ["artifacts/a#.json", "./artifacts/b/../x/.././c.JSON", "artifacts/../x#.json", "/artifacts/#.json", "artifacts/#.txt", "../artifacts/#.json", "artifacts"]
+    path = F.element_at(F.array(*[F.replace(F.lit(c), F.lit("#"), key.cast("string")) for c in cases]), (key % 7 + 1).cast("int"))
+    return read_table(spark, sf_dir, "customer").select("c_custkey", output_path(path).alias("path"))
+
+
+@query("SELECT c_custkey, c_custkey % 3 = 0 OR c_acctbal < 0 AS changed FROM customer")
+def q_contract_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, one = F.col("c_custkey"), F.lit("email").alias("id")
+    expected = F.struct(F.struct(one, key.alias("n")).alias("detector"), F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2)).alias("tokens"), F.array(F.lit("x")).alias("codes"))
+    actual = F.struct(F.array(F.when(F.col("c_acctbal") < 0, "y").otherwise("x")).alias("codes"), F.create_map(F.lit("a"), F.lit(2), F.lit("b"), F.lit(1)).alias("tokens"), F.struct((key + F.when(key % 3 == 0, 1).otherwise(0)).alias("n"), one).alias("detector"))
+    return contract_changed(read_table(spark, sf_dir, "customer").select("c_custkey", expected.alias("expected"), actual.alias("actual")), "expected", "actual").select("c_custkey", "changed")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN sha256('a ' || c_custkey || chr(10) || 'b') END AS digest FROM customer")
+def q_inventory_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _made(spark, sf_dir, "head <!-- from -->\r\n\u00a0 a #\r\nb \ufeff", F.when(F.col("c_custkey") % 2 == 0, "<!-- to --> tail").otherwise(""))
+    return rows.select("c_custkey", inventory_sha256(F.col("text"), "<!-- from -->", "<!-- to -->").alias("digest"))
+
+
+@query("WITH v AS (SELECT c_custkey, c_custkey % 12 AS a, c_custkey % 7 AS b, c_custkey % 3 AS c FROM customer) SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN (a, b, c) < (10, 3, 1) THEN -1 WHEN (a, b, c) > (10, 3, 1) THEN 1 ELSE 0 END::INT AS compared FROM v")
+def q_version_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    version = F.concat_ws(".", *[(key % n).cast("string") for n in (12, 7, 3)])
+    version = F.when(key % 5 == 0, F.concat(version, F.lit("-rc.1"))).otherwise(version)
+    return read_table(spark, sf_dir, "customer").select("c_custkey", compare_versions(version, F.lit("10.3.1")).alias("compared"))
+
+
+@query(f"WITH p AS (SELECT c_custkey, {_HEX} AS pinned FROM customer) SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'current' WHEN 1 THEN 'drift' END AS status, CASE WHEN c_custkey % 3 < 2 THEN 'https://example.invalid/r/compare/' || pinned || '...' || CASE c_custkey % 3 WHEN 0 THEN pinned ELSE repeat('0', 40) END END AS compare_url FROM p")
+def q_commit_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    latest = F.when(key % 3 == 0, _hex(key)).when(key % 3 == 1, "0" * 40).otherwise(F.upper(_hex(key)))
+    found = read_table(spark, sf_dir, "customer").select("c_custkey", commit_drift(_hex(key), latest, "https://example.invalid/r").alias("d"))
+    return found.select("c_custkey", "d.status", "d.compare_url")
+
+
+# ---- refusals
+
+
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 2 THEN NULL ELSE 'unsupported_provider_shape' END AS error, c_custkey % 3 = 2 AS ok FROM customer")
+def q_blocks_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey") % 3
+    text = F.when(key == 0, '{"max_tokens":1,"messages":[],"what":"u@example.invalid"}').when(key == 1, '{"messages":[{"role":"user","content":[{"type":"image","source":"u@example.invalid"}]}]}').otherwise('{"messages":[{"role":"user","content":[{"type":"text","text":"hi"}]}]}')
+    done = redact_payloads(read_table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), "text", "anthropic-messages", "request")
+    return done.select("c_custkey", F.col("redacted.error.code").alias("error"), "redacted.ok")
+
+
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'invalid_detection_range' WHEN 1 THEN 'invalid_redaction_reason' END AS error, CASE WHEN c_custkey % 3 < 2 THEN 'own' END AS detector_id, CASE WHEN c_custkey % 3 = 2 THEN 'x[REDACTED:custom:a]' END AS value FROM customer")
+def q_detection_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = Detector("own", ("custom:a",), lambda text: [("custom:a", 1, 2 + 9 * (text[0] == "r"))] if text[0] != "s" else [("not a reason", 0, 1)])
+    text = F.element_at(F.array(F.lit("r1"), F.lit("s1"), F.lit("x1")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    done = redact_text(read_table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), "text", policy=Options(built_ins=(), detectors=(own,)))
+    return done.select("c_custkey", F.col("redacted.error.code").alias("error"), "redacted.error.detector_id", "redacted.value")
+
+
+@query("SELECT c_custkey, 'max_total_detections_exceeded' AS error, CASE WHEN c_custkey % 2 = 0 THEN 'builtin:email' ELSE 'builtin:url' END AS detector_id FROM customer")
+def q_detection_limit_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _made(spark, sf_dir, "a@b.cd ", F.when(F.col("c_custkey") % 2 == 0, "e@f.gh").otherwise("https://h.ij/#"))
+    done = redact_text(rows, "text", policy=Options(limits=Limits(max_total_detections=1)))
+    return done.select("c_custkey", F.col("redacted.error.code").alias("error"), "redacted.error.detector_id")
+
+
+@query(f"SELECT doc_id::VARCHAR AS stream_id, CASE WHEN {_UNITS} > 1500 THEN 'max_stream_buffer_length_exceeded' END AS error FROM documents")
+def q_buffered_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = redact_stored_streams(_chunks(spark, sf_dir, 512), "buffered", policy=Options(limits=Limits(max_stream_buffer_length=1500)))
+    return done.groupBy("stream_id").agg(F.max("error_code").alias("error"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
