@@ -16,7 +16,7 @@ from .secrets import scan_secrets
 from .simhash import simhash_components
 from .topk import EACH, K, top_k
 from .toxicity import score_toxicity
-from .urls import BINS, LIMIT, ORDER, SYMBOLS, WEIGHT, filter_urls
+from .urls import BINS, HELD, LIMIT, ORDER, SYMBOLS, WEIGHT, filter_urls
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -118,21 +118,22 @@ l{n} AS (SELECT c.gram, (c.a + {WEIGHT} * w.pa) / (x.ca + {WEIGHT}) AS pa, (c.r
     ratio = "coalesce(" + ", ".join(f"ln(l{n}.pa / l{n}.pr)" for n in range(ORDER, 0, -1)) + ", 0.0)"
     return f"""
 WITH u AS (SELECT row_number() OVER () AS row, page_id, coalesce(url, '') AS url FROM pages),
-p AS (SELECT row, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM u),
-h AS (SELECT row, page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_AZ}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+p AS (SELECT row, page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM u),
+h AS (SELECT row, page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), {_AZ}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
 s AS (SELECT *, CASE
     WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule,
-  repeat('^', {ORDER - 1}) || regexp_replace(regexp_replace(translate(host || path, {_AZ}), '[0-9]', '0', 'g'), '[^a-z0./\\-_?=&%:]', '*', 'g') AS symbols FROM h),
+  repeat('^', {ORDER - 1}) || regexp_replace(regexp_replace(translate(url, {_AZ}), '[0-9]', '0', 'g'), '[^a-z0./\\-_?=&%:]', '*', 'g') AS symbols,
+  substr(md5(url), 1, 1) IN {HELD} AS held FROM h),
 v AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM s),
-g AS (SELECT row, ruled, substr(symbols, i, {ORDER}) AS gram FROM (SELECT *, unnest(range(1, length(symbols) - {ORDER} + 2)) AS i FROM v)),
-counts AS (SELECT gram, sum((ruled = 'allow')::INT) AS a, sum((ruled = 'block')::INT) AS r FROM g WHERE ruled IS NOT NULL GROUP BY 1),{levels}
+g AS (SELECT row, ruled, held, substr(symbols, i, {ORDER}) AS gram FROM (SELECT *, unnest(range(1, length(symbols) - {ORDER} + 2)) AS i FROM v)),
+counts AS (SELECT gram, sum((ruled = 'allow')::INT) AS a, sum((ruled = 'block')::INT) AS r FROM g WHERE ruled IS NOT NULL AND NOT held GROUP BY 1),{levels}
 f AS (SELECT row, sum({ratio}) / count(*) AS mean FROM g {joins} GROUP BY 1),
 b AS (SELECT v.*, least(greatest(floor(round(coalesce(mean, 0), 6) * {BINS}), {-LIMIT * BINS}), {LIMIT * BINS})::INT AS bin FROM v LEFT JOIN f USING (row)),
-k AS (SELECT bin, sum((ruled = 'allow')::INT) AS a, sum((ruled = 'block')::INT) AS r FROM b WHERE ruled IS NOT NULL GROUP BY 1),
+k AS (SELECT bin, sum((ruled = 'allow')::INT) AS a, sum((ruled = 'block')::INT) AS r FROM b WHERE ruled IS NOT NULL AND held GROUP BY 1),
 w AS (SELECT floor((coalesce(lag(bin) OVER (ORDER BY bin), bin) + bin + 1) / 2)::INT AS bin, round(coalesce(sum(a) OVER below, 0) / greatest(sum(a) OVER (), 1) + 1 - coalesce(sum(r) OVER below, 0) / greatest(sum(r) OVER (), 1), 9) AS wrong
   FROM k WINDOW below AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 cut AS (SELECT coalesce((SELECT bin FROM w ORDER BY wrong, abs(bin), bin LIMIT 1), 0) AS cut)

@@ -1,11 +1,12 @@
 """URL filter: rules first, then a character language-model ratio. DataFrame functions only.
 
-URLs that the rules accept or reject train one variable-order Markov model each. A URL is mapped onto
+URLs that the rules accept or reject train one variable-order Markov model each, but for a held-out part
+(``HELD``) on which the cut is calibrated. A whole URL, with scheme, query and fragment, is mapped onto
 ``SYMBOLS`` (letters, a digit class, a few marks, one symbol for all else), and the models count every
 gram of one to ``ORDER`` symbols. A character's probability is the interpolation of all orders whose
 context was seen (Dirichlet smoothing: each order falls back on the next shorter with ``WEIGHT``).
 A URL's figure is the mean difference of the two log-likelihoods per character; the cut is calibrated
-on the labelled URLs so that the share of wrong accepts and wrong rejects is least.
+on the held-out labelled URLs so that the share of wrong accepts and wrong rejects is least.
 
 As the symbols are few, the table of grams has at most len(SYMBOLS)**ORDER rows for the longest order
 (38**4, about two million) whatever the number of URLs; so it is broadcast, and URLs never shuffle by gram.
@@ -32,6 +33,9 @@ WEIGHT = 4.0
 #: Figures are cut into bins of 1 / BINS within +-LIMIT for the calibration.
 BINS, LIMIT = 100, 8
 
+#: First digits of the MD5 of the URLs that are held out of the training and calibrate the cut: three in sixteen.
+HELD = ("0", "1", "2")
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters, 0 for digits, marks, * for all else, ^ for the start.
 SYMBOLS = _LOWER + "0" + "./-_?=&%:" + "*" + "^"
@@ -54,9 +58,9 @@ def _rule(host: Column, path: Column, rules: tuple, what: str) -> Column:
     return found
 
 
-def _symbols(host: Column, path: Column) -> Column:
-    """Host and path on ``SYMBOLS``, behind ORDER - 1 start symbols."""
-    text = F.translate(F.concat(host, path), _UPPER, _LOWER)
+def _symbols(url: Column) -> Column:
+    """The whole URL on ``SYMBOLS``, behind ORDER - 1 start symbols; null is empty."""
+    text = F.translate(F.coalesce(url, F.lit("")), _UPPER, _LOWER)
     text = F.regexp_replace(F.regexp_replace(text, "[0-9]", "0"), r"[^a-z0./\-_?=&%:]", "*")
     return F.concat(F.lit("^" * (ORDER - 1)), text)
 
@@ -109,7 +113,7 @@ def _cut(figures: DataFrame) -> DataFrame:
 
     A cut lies in the middle between two bins that occur, as labelled URLs stand further apart than new ones.
     """
-    bins = figures.where("verdict is not null").groupBy("bin").agg(F.sum(F.when(F.col("verdict") == "allow", 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("verdict") == "block", 1).otherwise(0)).alias("r"))
+    bins = figures.where("held and verdict is not null").groupBy("bin").agg(F.sum(F.when(F.col("verdict") == "allow", 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("verdict") == "block", 1).otherwise(0)).alias("r"))
     # At most 2 * LIMIT * BINS + 1 rows from here on.
     below, every = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     wrong = F.coalesce(F.sum("a").over(below), F.lit(0)) / F.greatest(F.sum("a").over(every), F.lit(1)) + 1 - F.coalesce(F.sum("r").over(below), F.lit(0)) / F.greatest(F.sum("r").over(every), F.lit(1))
@@ -121,14 +125,16 @@ def _cut(figures: DataFrame) -> DataFrame:
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES) -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, figure.
 
-    A row whose url is null or has no ``://`` has an empty host and path; without characters its figure is 0,
-    which the cut judges like any other. If no rule fits any row, every figure is 0 and so is the cut. Ids may
-    be null or repeat, each row is judged by itself; an empty table gives no rows; other columns are not read.
+    A row whose url is null or has no ``://`` has an empty host and path; its figure is that of its characters,
+    0 without any, which the cut judges like any other. If no rule fits any row, every figure is 0 and so is the cut.
+    Ids may be null or repeat, each row is judged by itself; an empty table gives no rows; other columns are not read.
     """
     host, path = parts(F.col("url"))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
-    rows = rows.withColumns({"rule": _rule(F.col("host"), F.col("path"), rules, "rule"), "verdict": _rule(F.col("host"), F.col("path"), rules, "verdict"), "symbols": _symbols(F.col("host"), F.col("path"))})
-    labelled = rows.where("verdict is not null").select("symbols", (F.col("verdict") == "allow").alias("good"))
-    figures = _figures(rows.withColumn("row", F.monotonically_increasing_id()), labelled, "row", "page_id", "host", "path", "rule", "verdict")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
+    rows = rows.select("page_id", host.alias("host"), path.alias("path"), _symbols(F.col("url")).alias("symbols"), F.substring(F.md5(F.coalesce("url", F.lit(""))), 1, 1).isin(*HELD).alias("held"))
+    rows = rows.withColumns({name: _rule(F.col("host"), F.col("path"), rules, name) for name in ("rule", "verdict")})
+    labelled = rows.where("verdict is not null and not held").select("symbols", (F.col("verdict") == "allow").alias("good"))
+    # The cut and the verdicts read the figures, a row per URL, which are written once.
+    figures = cut(_figures(rows.withColumn("row", F.monotonically_increasing_id()), labelled, "row", "page_id", "host", "path", "rule", "verdict", "held"))
     judged = F.when(F.col("bin") >= F.col("cut"), F.lit("allow")).otherwise(F.lit("block"))
     return figures.join(F.broadcast(_cut(figures))).select("page_id", "host", "path", "rule", F.coalesce("verdict", judged).alias("verdict"), (F.col("bin") / BINS).alias("figure"))
