@@ -1,4 +1,4 @@
-"""Chat formatting into a prefix tree.
+"""Chat formatting into a prefix tree. Its units are characters: no tokenizer is part of it.
 
 A conversation is a chain of turns; the name of a turn is a hash of all turns up to it, so that
 conversations with equal first turns share those nodes. Each node is emitted once, depth first, with
@@ -138,6 +138,13 @@ def prefix_tree(table: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return turns.drop("segment"), nodes.join(segments, "node"), hot
 
 
+def _masked(nodes: DataFrame) -> DataFrame:
+    """Adds loss: begin and end of the learned characters within the segment, or null."""
+    begin = F.instr("segment", "|>") + 1
+    learned = F.struct(begin.alias("begin"), (F.length("segment") - len("<|end|>")).alias("end"))
+    return nodes.withColumn("loss", F.when(F.col("segment").startswith(f"<|{LEARNED}|>"), learned))
+
+
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, shared_chars long, intervals array<struct<begin:long,end:long>>"
 _INTERVALS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
@@ -153,7 +160,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         ready = []
-        for conv_id, start, segment, n, place in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "start", "segment", "n", "place")), strict=True):
+        for conv_id, start, segment, n, place, mask in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "start", "segment", "n", "place", "loss")), strict=True):
             if state is None or conv_id != state["conv"]:
                 if state:
                     ready.append(done())
@@ -163,9 +170,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             role, text = read_turn(segment)
             state["turns"] += 1
             state["all"].update(f"{role}\n{text}\n".encode())
-            if role == LEARNED:
-                state["loss_chars"] += len(text)
-                state["loss"].update(text.encode())
+            if mask is not None:
+                learned = unescape(segment[mask["begin"] : mask["end"]])
+                state["loss_chars"] += len(learned)
+                state["loss"].update(learned.encode())
             state["chars"] += len(segment)
             state["shared"] += len(segment) if n > 1 else 0
             if state["intervals"] and state["intervals"][-1][1] == place:  # follows its parent at once
@@ -187,7 +195,7 @@ def format_chats(table: DataFrame) -> DataFrame:
     other columns are not read.
     """
     turns, nodes, hot = prefix_tree(table)
-    full = _met(turns.select("conv_id", "depth", "node", "start"), nodes.select("node", "n", "place", "segment"), hot)
+    full = _met(turns.select("conv_id", "depth", "node", "start"), _masked(nodes).select("node", "n", "place", "segment", "loss"), hot)
     return _by_conversation(full, "depth").mapInArrow(_read, READ)
 
 
@@ -212,6 +220,4 @@ def emitted(table: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, _INTERVALS)], ["node", "ancestors"])
 
     ancestors = _by_conversation(full, "depth").mapInArrow(above, "node binary, ancestors array<struct<begin:long,end:long>>").groupBy("node").agg(F.min("ancestors").alias("ancestors"))
-    begin = F.instr("segment", "|>") + 1
-    loss = F.when(F.col("segment").startswith(f"<|{LEARNED}|>"), F.struct(begin.alias("begin"), (F.length("segment") - len("<|end|>")).alias("end")))
-    return nodes.join(ancestors, "node").select("place", "depth", "start", "length", "n", "segment", loss.alias("loss"), "ancestors")
+    return _masked(nodes).join(ancestors, "node").select("place", "depth", "start", "length", "n", "segment", "loss", "ancestors")
