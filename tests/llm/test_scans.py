@@ -81,6 +81,8 @@ def test_elias_fano(values, universe, others):
     values = np.unique(np.array(values, np.uint64))
     built = EliasFano.of(EliasFano.build(values, universe).arrays())
     assert (built.access(np.arange(len(values))) == values).all()
+    first, second = built.access_two(np.arange(max(0, len(values) - 1)))
+    assert (first == values[:-1]).all() and (second == values[1:]).all()
     place = {int(v): i for i, v in enumerate(values)}
     asked = np.concatenate([values, np.array(others, np.uint64)])
     assert built.find(asked).tolist() == [place.get(int(v), -1) for v in asked]
@@ -138,8 +140,7 @@ def test_probabilities_of_a_context_sum_to_one(spark):
     ids = np.concatenate([model.word_ids(words), [model.end]])
     assert (ids >= 0).all() and len(ids) == model.types
     for context in [*ids[:4], model.begin]:
-        n = model.counts(np.array([context]))[0]
-        back = DISCOUNT * model.followers(np.array([context]))[0] / n
+        back = model.back_off(np.array([context]))[0]
         single = (model.counts(ids) + 1) / (model.tokens + model.types + 1)
         unknown = back / (model.tokens + model.types + 1)
         assert abs((model.bigrams(np.full(len(ids), context), ids) + back * single).sum() + unknown - 1) < 2e-3
@@ -150,11 +151,23 @@ def test_trie_pointers_delimit_runs():
 
     context, token = np.array([2, 2, 5, 9, 9, 9]), np.array([1, 7, 0, 0, 3, 8])
     trie = Trie.of(Trie.build(context, token, np.full(6, 0.5), 10).arrays())
-    assert trie.find(np.array([9, 2, 5, 4, 2]), np.array([3, 7, 1, 0, 1]), 10).tolist() == [4, 1, -1, -1, 0]
+    assert trie.find(np.array([9, 2, 5, 4, 2]), np.array([3, 7, 1, 0, 1])).tolist() == [4, 1, -1, -1, 0]
     begin, end = trie.run(np.arange(3))
     assert begin.tolist() == [0, 2, 3] and end.tolist() == [2, 3, 6]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.tuples(st.integers(0, 12), st.integers(0, 20)), min_size=1, max_size=120))
+def test_trie_finds_its_pairs_only(pairs):
+    from veilspark.llm.ngram import Trie
+
+    context, token = (np.array(x) for x in zip(*sorted(pairs), strict=True))
+    trie = Trie.of(Trie.build(context, token, np.full(len(pairs), 0.5), 13).arrays())
+    place = {p: i for i, p in enumerate(sorted(pairs))}
+    asked = [(a, b) for a in range(13) for b in range(22)]
+    assert trie.find(*(np.array(x) for x in zip(*asked, strict=True))).tolist() == [place.get(p, -1) for p in asked]
+
+
 @pytest.mark.parametrize("rows", [[], [(5, "x")]])  # 5: crc32("5") % 7 decides the fold
 def test_without_or_with_one_training_row(spark, rows):
     found = lm_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -82,6 +82,16 @@ class EliasFano:
         """The i-th numbers."""
         return ((self._select(i, True) - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
 
+    def access_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The i-th numbers and those after them, which mostly have their bit in the same word."""
+        place = self._select(i, True)
+        shift = (place & 63).astype(np.uint64)
+        rest = (self.high[place >> 6] >> shift) >> np.uint64(1)
+        after = place + 1 + np.bitwise_count((rest & (np.uint64(0) - rest)) - np.uint64(1)).astype(np.int64)
+        if (far := rest == 0).any():
+            after[far] = self._select(i[far] + 1, True)
+        return tuple(((p - j).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(j) for p, j in ((place, i), (after, i + 1)))
+
     def find(self, values: np.ndarray) -> np.ndarray:
         """Index of each value, or -1 where the sequence lacks it: the successor search within the value's high part."""
         if not self.n or not len(values):

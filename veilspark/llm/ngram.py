@@ -1,13 +1,13 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-Level 1 holds the words: their hashes as an Elias-Fano sequence, exact counts, and the number of
-different followers of each. Level 2 holds the bigrams in shards by a hash of (context, word), so a
+Level 1 holds the words: their hashes as an Elias-Fano sequence, exact counts, and the quantised weight
+that each gives to the lower order. Level 2 holds the bigrams in shards by a hash of (context, word), so a
 frequent context spreads over all shards. A shard is a small trie: its contexts, monotone pointers to
-where each one's successors begin, and the successors, where a word is kept relative to the rank of its
-context. All three are Elias-Fano sequences; each bigram has a quantised discounted probability. A bigram
-is looked up by the rank of its context and a successor search for the word at that rank, which lands
-within the context's run; the pointers give the whole run. Levels are flat files in the shared folder,
-which scoring tasks map into memory.
+where each one's successors begin, and the successors, where a word is kept relative to the end of the run
+before its context's. All three are Elias-Fano sequences; each bigram has a quantised discounted
+probability. A bigram is looked up by the rank of its context, the two pointers that delimit the context's
+run, and a successor search relative to the run's base. Levels are flat files in the shared folder, which
+scoring tasks map into memory; a worker keeps those of one model open.
 
 The model interpolates: P(w | v) = max(c(vw) - D, 0) / c(v) + D * followers(v) / c(v) * P(w) with
 P(w) = (c(w) + 1) / (N + V + 1); a context that was never seen leaves P(w). Quantised terms are kept
@@ -92,13 +92,27 @@ def _open(uri: str) -> list[np.ndarray]:
     return found
 
 
-_opened: dict[str, object] = {}
+_opened: dict[str, dict[str, object]] = {}
 
 
-def _once(key: str, make):
-    if key not in _opened:
-        _opened[key] = make()
-    return _opened[key]
+def _once(folder: str, name: str, make):
+    """What a worker opened of the model in ``folder``; those of other models are let go."""
+    if folder not in _opened:
+        _opened.clear()
+        _opened[folder] = {}
+    known = _opened[folder]
+    if name not in known:
+        known[name] = make()
+    return known[name]
+
+
+def _coded(p: np.ndarray) -> np.ndarray:
+    """Probabilities in 16 bits."""
+    return np.minimum(np.round(-np.log10(p) * STEPS), 65535).astype(np.uint16)
+
+
+def _decoded(codes: np.ndarray) -> np.ndarray:
+    return 10.0 ** (codes / -STEPS)
 
 
 def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -214,8 +228,7 @@ class Model:
         return self.words + (self.texts > 0)
 
     def _level(self, kind: str, shard: int) -> list[np.ndarray]:
-        uri = f"{self.folder}/{kind}-{shard}"
-        return _once(uri, lambda: _open(uri))
+        return _once(self.folder, f"{kind}-{shard}", lambda: _open(f"{self.folder}/{kind}-{shard}"))
 
     def word_ids(self, words: list[bytes]) -> np.ndarray:
         """Ids of words, -1 for those that training lacks."""
@@ -226,7 +239,7 @@ class Model:
             if self.bases[s] == self.bases[s + 1]:
                 continue
             arrays = self._level("words", s)
-            sequence = _once(f"{self.folder}/sequence-{s}", lambda a=arrays: EliasFano.of(a[:5]))
+            sequence = _once(self.folder, f"sequence-{s}", lambda a=arrays: EliasFano.of(a[:5]))
             i = sequence.find(names[at] & np.uint64((1 << (64 - self.bits)) - 1))
             known = (i >= 0) & (arrays[5][np.maximum(i, 0)] == checks[at])
             found[at[known]] = i[known] + self.bases[s]
@@ -244,10 +257,13 @@ class Model:
         """c of tokens; of the end the number of texts."""
         return np.where((ids == self.end) | (ids == self.begin), self.texts, self._by_id("words", 6, ids))
 
-    def followers(self, ids: np.ndarray) -> np.ndarray:
-        found = self._by_id("followers", 0, ids)
-        if (ids == self.begin).any():
-            found[ids == self.begin] = self._level("followers", len(self.bases) - 1)[0][0]
+    def back_off(self, ids: np.ndarray) -> np.ndarray:
+        """The weight that each context gives to the lower order: D * followers / c, 1 where it was never seen."""
+        found = np.ones(len(ids))
+        known = (ids >= 0) & (ids < self.words)
+        found[known] = _decoded(self._by_id("back-off", 0, ids[known]))
+        if self.texts and (ids == self.begin).any():
+            found[ids == self.begin] = _decoded(self._level("back-off", len(self.bases) - 1)[0])
         return found
 
     def shard_of(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -261,10 +277,10 @@ class Model:
         if not self.texts or not len(at):
             return found
         for s, (own,) in _by_shard(self.shard_of(context[at], token[at]), at):
-            trie = _once(f"{self.folder}/trie-{s}", lambda s=s: Trie.of(self._level("bigrams", s)))
-            i = trie.find(context[own], token[own], self.words + 2)
+            trie = _once(self.folder, f"trie-{s}", lambda s=s: Trie.of(self._level("bigrams", s)))
+            i = trie.find(context[own], token[own])
             hit = i >= 0
-            found[own[hit]] = 10.0 ** (trie.codes[i[hit]] / -STEPS)
+            found[own[hit]] = _decoded(trie.codes[i[hit]])
         return found
 
 
@@ -278,13 +294,15 @@ class Trie:
     def build(context: np.ndarray, token: np.ndarray, term: np.ndarray, universe: int) -> Trie:
         """Of distinct pairs, sorted by context and token, and their discounted terms."""
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        rank = np.cumsum(np.concatenate([[0], context[1:] != context[:-1]]))
-        codes = np.minimum(np.round(-np.log10(term) * STEPS), 65535).astype(np.uint16)
+        ends = np.concatenate([first[1:], [len(context)]])
+        # Each run starts above the last number of the run before it.
+        spans = token[ends - 1] + 1
+        base = np.cumsum(spans) - spans
         return Trie(
             EliasFano.build(context[first].astype(np.uint64), universe),
             EliasFano.build(np.concatenate([first, [len(context)]]).astype(np.uint64), len(context) + 1),
-            EliasFano.build(rank.astype(np.uint64) * np.uint64(universe) + token.astype(np.uint64), len(first) * universe),
-            codes,
+            EliasFano.build((token + np.repeat(base, ends - first)).astype(np.uint64), int(spans.sum())),
+            _coded(term),
         )
 
     def arrays(self) -> list[np.ndarray]:
@@ -294,19 +312,26 @@ class Trie:
     def of(arrays: list[np.ndarray]) -> Trie:
         return Trie(*(EliasFano.of(arrays[i : i + 5]) for i in (0, 5, 10)), arrays[15])
 
-    def find(self, context: np.ndarray, token: np.ndarray, universe: int) -> np.ndarray:
+    def find(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Index of each pair, -1 if it is not there."""
         distinct, place = np.unique(context, return_inverse=True)
-        rank = self.contexts.find(distinct.astype(np.uint64))[place]
+        rank = self.contexts.find(distinct.astype(np.uint64))
+        known = np.flatnonzero(rank >= 0)
+        begin, end, base = (np.zeros(len(distinct), np.int64) for _ in range(3))
+        begin[known], end[known] = self.run(rank[known])
+        later = known[begin[known] > 0]
+        base[later] = self.successors.access(begin[later] - 1).astype(np.int64) + 1
+        at = np.flatnonzero(rank[place] >= 0)
+        place = place[at]
+        i = self.successors.find((base[place] + token[at]).astype(np.uint64))
         found = np.full(len(context), -1, np.int64)
-        at = np.flatnonzero(rank >= 0)
-        # Successors of a context are a run of the sequence, lifted by the context's rank.
-        found[at] = self.successors.find(rank[at].astype(np.uint64) * np.uint64(universe) + token[at].astype(np.uint64))
+        found[at] = np.where((i >= begin[place]) & (i < end[place]), i, -1)
         return found
 
     def run(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and end of the successors of the contexts with these ranks."""
-        return self.pointers.access(rank).astype(np.int64), self.pointers.access(rank + 1).astype(np.int64)
+        begin, end = self.pointers.access_two(rank)
+        return begin.astype(np.int64), end.astype(np.int64)
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
@@ -361,6 +386,8 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
             sizes[row.shard] = value[0]
     bases = np.concatenate([[0], np.cumsum(sizes)])
     model = Model(folder, bits, bases, rows, words + rows, max(1, -(-(words + rows) // SHARD_TOKENS)))
+    if model.begin >= 1 << 32:
+        raise ValueError("ids of words need more than 32 bits")
     if not rows:
         return model
 
@@ -398,19 +425,19 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
             for other, (k, c) in _by_shard(to, distinct, followers):
                 yield _batch([other], [_pack(np.diff(k, prepend=0), c.astype(np.uint32))])
 
-    def save_followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def save_back_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, parts in _gathered(batches):
             key, n = _merged([np.cumsum(p[0]) for p in parts], [p[1].astype(np.int64) for p in parts])
             if shard == len(bases) - 1:  # the begin mark alone
-                _save(f"{folder}/followers-{shard}", [n])
-            else:
-                level = np.zeros(int(sizes[shard]), np.int64)
-                level[key - bases[shard]] = n
-                _save(f"{folder}/followers-{shard}", [level])
+                codes = _coded(DISCOUNT * n / model.texts)
+            else:  # every word has a follower, the end at least
+                codes = np.zeros(int(sizes[shard]), np.uint16)
+                codes[key - bases[shard]] = _coded(DISCOUNT * n / model.counts(key))
+            _save(f"{folder}/back-off-{shard}", [codes])
             yield _batch([shard], [b""])
 
     pairs = texts.mapInArrow(count_pairs, Blob).repartition("shard").sortWithinPartitions("shard").mapInArrow(save_pairs, Blob)
-    pairs.repartition("shard").sortWithinPartitions("shard").mapInArrow(save_followers, Blob).agg(F.count(F.lit(1))).collect()
+    pairs.repartition("shard").sortWithinPartitions("shard").mapInArrow(save_back_off, Blob).agg(F.count(F.lit(1))).collect()
     return model
 
 
@@ -433,9 +460,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             ids = np.concatenate([model.word_ids(text.words), [model.end, model.begin]])
             counts = model.counts(ids)
             single = (counts + 1) / (model.tokens + model.types + 1)
-            # A context's weight for the lower order; 1 where it was never seen.
-            back = np.where(counts > 0, DISCOUNT * model.followers(ids) / np.maximum(counts, 1), 1.0)
-            back[ids == model.end] = 1.0
+            back = model.back_off(ids)
             end, begin = len(text.words), len(text.words) + 1
             context, token = text.pairs(begin, end)
             key, place = np.unique(context * len(ids) + token, return_inverse=True)
