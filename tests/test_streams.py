@@ -73,6 +73,22 @@ def test_stored_streams(spark, kind):
     assert joined(redact_stored_streams(chunks(spark), kind)) == [redact(t, Options())[0] for t in SENTENCES]
 
 
+@pytest.mark.parametrize("limits", [{}, {"max_stream_buffer_length": 7}, {"max_total_string_length": 9}])
+def test_chunks_held_at_once_are_held_alike(limits):
+    for texts in (["a", "bc", "", "d" * 5, "e f", "gh"], ["é😀", "x"] * 4, [" ", "ab", None, "c"]):
+        one, many = Rolling({"limits": limits}), Rolling({"limits": limits})
+        expected = [one.push(t) for t in texts]
+        k = 0
+        while k < len(texts):
+            if found := many.hold(texts[k:]):
+                assert [(r["ok"], r["content"], r["retained"]) for r in expected[k : k + len(found)]] == [(True, "", n) for n in found]
+                k += len(found)
+            else:
+                assert many.push(texts[k])["ok"] == expected[k]["ok"]
+                k += 1
+        assert {**one.state, "ms": 0} == {**many.state, "ms": 0}
+
+
 def test_live_streams(spark, tmp_path):
     table, schema = chunks(spark), "stream_id string, seq long, chunk string, is_close boolean"
     for low, high in [(0, 3), (3, 200)]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import replace
 
 from ..functions.patterns import SPACE
@@ -63,6 +63,10 @@ class Machine:
             return self.fail("unsupported_provider_shape", "Streaming redaction chunks must be strings.")
         return self.chunk(chunk)
 
+    def hold(self, chunks: Iterable[str | None]) -> list[int]:
+        """Takes those leading chunks at once that are only held, as ``push`` would; the units retained after each."""
+        return []
+
     def close(self) -> dict:
         if self.state["failed"]:
             return failure(*self.state["failed"])
@@ -91,7 +95,7 @@ def _empty(*codes: str) -> dict:
 
 
 #: Rows of chunks that are only held; made once.
-_HELD, _OMITTED = _empty(), _empty("streaming_content_omitted")
+HELD, _OMITTED = _empty(), _empty("streaming_content_omitted")
 
 
 class Buffered(Machine):
@@ -139,9 +143,24 @@ class Rolling(Machine):
             return self.fail("max_stream_buffer_length_exceeded")
         state |= {"buffer": buffer, "held": held}
         if not at:
-            return _HELD | {"retained": held}
+            return HELD | {"retained": held}
         return self.release(buffer[:at], buffer[at:], False)
 
+    def hold(self, chunks: Iterable[str | None]) -> list[int]:
+        state, taken, retained = self.state, [], []
+        if state["failed"] or state["closed"]:
+            return retained
+        held, total = state["held"], self.options.limits.max_total_string_length
+        most = self.most if total is None else min(self.most, held + total - state["units"])
+        for chunk in chunks:
+            if chunk is None or _SPACES.search(chunk) or held + (size := units(chunk)) > most:
+                break
+            held += size
+            taken.append(chunk)
+            retained.append(held)
+        state |= {"buffer": state["buffer"] + "".join(taken), "units": state["units"] + held - state["held"], "held": held}
+        return retained
+
     def rest(self) -> dict:
         return self.release(self.state["buffer"], "", True)
 

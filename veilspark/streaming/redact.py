@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Mapping
+from itertools import takewhile
 
 import pandas as pd
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..codes import REPORT
 from ..options import Options, Profile
-from .machines import MACHINES
+from .machines import HELD, MACHINES
 
 OUTPUT = T.StructType(
     [
@@ -51,20 +52,33 @@ def redact_stored_streams(frame: DataFrame, kind: str = "rolling", policy: Optio
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, machine = None, None
         for batch in batches:
-            rows, reports, which = [], [], []
+            ids, numbers, texts, ends = (c.to_pylist() for c in batch.columns)
+            columns: list[list] = [[] for _ in schema]  # the last for places in reports
             known: dict[int, int] = {}
-            for stream_id, number, text, closes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if machine is None or stream_id != at:
-                    at, machine = stream_id, MACHINES[kind](policy)
-                row = _step(machine, stream_id, number, text, closes)
-                report = row["report"]
+            reports, kept = [], []
+
+            def place(report: dict, known=known, reports=reports, kept=kept) -> int:
                 if id(report) not in known:  # chunks that are only held share one report
                     known[id(report)] = len(reports)
                     reports.append(report | {"counts_by_reason": list(report["counts_by_reason"].items())})  # Arrow takes maps as pairs
-                which.append(known[id(report)])
-                rows.append(row)  # also keeps the report's id taken
-            columns = [pa.array([r[f.name] for r in rows], f.type) for f in schema if f.name != "report"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(reports, schema.field("report").type).take(pa.array(which, pa.int32()))], schema=schema)
+                    kept.append(report)  # keeps its id taken
+                return known[id(report)]
+
+            k = 0
+            while k < len(ids):
+                if machine is None or ids[k] != at:
+                    at, machine = ids[k], MACHINES[kind](policy)
+                retained = machine.hold(texts[i] for i in takewhile(lambda i, at=at: ids[i] == at and not ends[i], range(k, len(ids))))
+                if n := len(retained):
+                    parts = [ids[k : k + n], numbers[k : k + n], [HELD["ok"]] * n, [HELD["content"]] * n, [HELD["final"]] * n, retained, [None] * n, [place(HELD["report"])] * n]
+                else:
+                    n, row = 1, _step(machine, ids[k], numbers[k], texts[k], ends[k])
+                    parts = [[place(row["report"]) if f.name == "report" else row[f.name]] for f in schema]
+                for column, part in zip(columns, parts, strict=True):
+                    column += part
+                k += n
+            found = [pa.array(c, f.type) for c, f in zip(columns, schema, strict=False) if f.name != "report"]
+            yield pa.RecordBatch.from_arrays([*found, pa.array(reports, schema.field("report").type).take(pa.array(columns[-1], pa.int32()))], schema=schema)
 
     ordered = _columns(frame, stream, seq, chunk, close).repartition("stream_id").sortWithinPartitions("stream_id", "seq")
     return ordered.mapInArrow(run, OUTPUT)
